@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .skew import ROWS_PER_TASK, dense_index, hot_key_join
 
 WEI = 1e18
@@ -46,6 +47,8 @@ def build_edges(tables: dict[str, DataFrame], index: DataFrame, zero_time: bool
     A missing gas column counts as 0. A source without a time column gets 0, unless
     it was joined to blocks first; ``zero_time`` forces 0 for those sources too.
     """
+    # The index is joined twice per source: compute it once.
+    index = cut(index)
     parts = []
     for kind, df in tables.items():
         has = set(df.columns)

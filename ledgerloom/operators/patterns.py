@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .graph import both_ends, node_last_time
 from .skew import ROWS_PER_TASK, hot_key_join
 
@@ -111,31 +112,48 @@ def pair_patterns(weighted: DataFrame, refs: DataFrame, gap: int = GAP, rows_per
     )
 
 
-def triangle_candidates(window_pairs: DataFrame) -> DataFrame:
-    """Undirected triangles ``(k, a, b, c)`` of the pairs ``(k, x, y)``, x ≠ y, per time window.
+def cycle_2_everywhere(weighted: DataFrame, gap: int) -> DataFrame:
+    """Two-cycles per starting node over all start times.
 
-    Pairs are oriented from the endpoint of lower degree, so a hub starts few wedges
-    and their total stays within the number of pairs to the power 1.5.
+    The pair's rows are split into buckets of one gap, each also holding the next
+    bucket's return edges, so a pair that trades for years is still many small groups.
     """
-    lo, hi = F.least("x", "y"), F.greatest("x", "y")
-    pairs = window_pairs.select("k", lo.alias("x"), hi.alias("y")).distinct()
-    degree = (
-        pairs.select("k", F.explode(F.array("x", "y")).alias("v")).groupBy("k", "v").agg(F.count("*").alias("d"))
-    )
+    bucket = F.floor(F.col("t") / gap)
+    # An edge starts cycles in its own bucket and ends them in its own or the previous one.
+    roles = weighted.withColumn("r", F.explode(F.array(
+        F.struct(F.col("src").alias("n"), F.col("dst").alias("b"), F.lit(1).alias("first"), bucket.alias("k")),
+        F.struct(F.col("dst").alias("n"), F.col("src").alias("b"), F.lit(0).alias("first"), bucket.alias("k")),
+        F.struct(F.col("dst").alias("n"), F.col("src").alias("b"), F.lit(0).alias("first"), (bucket - 1).alias("k")),
+    ))).select("r.*", "t", "c")
+    later = W.partitionBy("n", "b", "k").orderBy("t").rangeBetween(1, gap)
+    back = F.coalesce(F.sum(F.when(F.col("first") == 0, F.col("c"))).over(later), F.lit(0))
+    counted = roles.withColumn("_p", F.when(F.col("first") == 1, F.col("c") * back).otherwise(F.lit(0)))
+    return counted.groupBy(F.col("n").alias("node_id")).agg(F.sum("_p").alias("cycle_2")).filter("cycle_2 > 0")
+
+
+def orient(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs ``(k, x, y)``, x < y, as ``(k, low, high)`` from the endpoint of lower degree."""
+    degree = pairs.select("k", F.explode(F.array("x", "y")).alias("v")).groupBy("k", "v").agg(F.count("*").alias("d"))
     ranked = pairs.join(degree.select("k", F.col("v").alias("x"), F.col("d").alias("dx")), ["k", "x"]).join(
         degree.select("k", F.col("v").alias("y"), F.col("d").alias("dy")), ["k", "y"]
     )
-    low_first = F.struct("dx", "x") < F.struct("dy", "y")
-    oriented = ranked.select(
-        "k",
-        F.when(low_first, F.col("x")).otherwise(F.col("y")).alias("low"),
-        F.when(low_first, F.col("y")).otherwise(F.col("x")).alias("high"),
+    x_first = F.col("dx") <= F.col("dy")
+    return ranked.select(
+        "k", F.when(x_first, F.col("x")).otherwise(F.col("y")).alias("low"),
+        F.when(x_first, F.col("y")).otherwise(F.col("x")).alias("high"),
     )
-    left = oriented.select("k", "low", F.col("high").alias("b"))
-    right = oriented.select("k", "low", F.col("high").alias("c"))
-    wedges = left.join(right, ["k", "low"]).filter("b < c")
-    closing = pairs.select("k", F.col("x").alias("b"), F.col("y").alias("c"))
-    return wedges.join(closing, ["k", "b", "c"], "left_semi").select("k", F.col("low").alias("a"), "b", "c")
+
+
+def triangles(oriented: DataFrame) -> DataFrame:
+    """Undirected triangles ``(k, a, b, c)`` per time window.
+
+    Both edges of a wedge start at its vertex of lowest degree, so a hub starts few
+    wedges and their total stays within the number of pairs to the power 1.5.
+    """
+    left = oriented.select("k", F.col("low").alias("a"), F.col("high").alias("b"))
+    right = oriented.select("k", F.col("low").alias("a"), F.col("high").alias("c"))
+    closing = oriented.select("k", F.least("low", "high").alias("b"), F.greatest("low", "high").alias("c"))
+    return left.join(right, ["k", "a"]).filter("b < c").join(closing, ["k", "b", "c"], "left_semi")
 
 
 def cycle_3_counts(weighted: DataFrame, refs: DataFrame, gap: int = GAP, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -148,57 +166,53 @@ def cycle_3_counts(weighted: DataFrame, refs: DataFrame, gap: int = GAP, rows_pe
     """
     span = 2 * gap
     bucket = F.floor(F.col("t") / span)
-    first = _attach_ref(weighted, refs, "src", rows_per_task).filter(
+    first = cut(_attach_ref(weighted, refs, "src", rows_per_task).filter(
         F.abs(F.col("ref") - F.col("t")) <= gap
-    ).select(bucket.alias("k"), F.col("src").alias("n"), F.col("dst").alias("b"), "t", "c")
-    windows = F.array(bucket, bucket - 1)
-    spread = weighted.select(F.explode(windows).alias("k"), "src", "dst", "t", "c")
-
-    # Keep a window's edges only where they can take part: next to a first edge.
-    starts = first.select("k", F.col("n").alias("src")).distinct()
-    middles = first.select("k", F.col("b").alias("src")).distinct()
-    third = spread.join(starts.withColumnRenamed("src", "dst"), ["k", "dst"], "left_semi")
-    thirds = third.select("k", F.col("src").alias("dst")).distinct()
-    second = spread.join(middles, ["k", "src"], "left_semi").join(thirds, ["k", "dst"], "left_semi")
-
-    links = (
-        first.select("k", F.col("n").alias("x"), F.col("b").alias("y"))
-        .unionByName(second.select("k", F.col("src").alias("x"), F.col("dst").alias("y")))
-        .unionByName(third.select("k", F.col("src").alias("x"), F.col("dst").alias("y")))
-    ).distinct()
-    triangles = triangle_candidates(links.filter("x <> y"))
+    ).select(bucket.alias("k"), F.col("src").alias("x"), F.col("dst").alias("y"), "t", "c"))
+    # Keep a window's edges only where they touch a first edge: the second edge leaves
+    # its target, the third one enters its source.
+    spread = weighted.select(
+        F.explode(F.array(bucket, bucket - 1)).alias("k"), F.col("src").alias("x"), F.col("dst").alias("y"), "t", "c")
+    second = spread.join(first.select("k", F.col("y").alias("x")).distinct(), ["k", "x"], "left_semi")
+    third = spread.join(first.select("k", F.col("x").alias("y")).distinct(), ["k", "y"], "left_semi")
+    columns = ["k", "x", "y", "t", "c", "role"]
+    lists = cut(
+        first.withColumn("role", F.lit(1)).select(columns)
+        .unionByName(second.withColumn("role", F.lit(2)).select(columns))
+        .unionByName(third.withColumn("role", F.lit(3)).select(columns))
+    )
+
+    pairs = lists.filter("x <> y").select("k", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    oriented = cut(orient(pairs))
     turns = [("a", "b", "c"), ("a", "c", "b"), ("b", "a", "c"), ("b", "c", "a"), ("c", "a", "b"), ("c", "b", "a")]
-    proper = triangles.select("k", F.explode(F.array(*[
-        F.struct(F.col(x).alias("n"), F.col(y).alias("b"), F.col(z).alias("c3")) for x, y, z in turns
-    ])).alias("s")).select("k", "s.*")
+    proper = triangles(oriented).select("k", F.inline(F.array(*[
+        F.struct(F.col(x).alias("n"), F.col(y).alias("b"), F.col(z).alias("far")) for x, y, z in turns
+    ])))
     # Degenerate cycles run through a self-loop at the start or at the far node.
-    loops = links.filter("x = y").select("k", F.col("x").alias("loop")).distinct()
-    plain = links.filter("x <> y").select("k", F.explode(F.array(
-        F.struct(F.col("x").alias("loop"), F.col("y").alias("mate")),
-        F.struct(F.col("y").alias("loop"), F.col("x").alias("mate")),
-    )).alias("s")).select("k", "s.*").distinct()
-    looped = plain.join(loops, ["k", "loop"]).select("k", F.explode(F.array(
-        F.struct(F.col("loop").alias("n"), F.col("loop").alias("b"), F.col("mate").alias("c3")),
-        F.struct(F.col("mate").alias("n"), F.col("loop").alias("b"), F.col("loop").alias("c3")),
-    )).alias("s")).select("k", "s.*")
-    candidates = proper.unionByName(looped)
-
-    # A candidate counts only with a first edge; attach the three edge lists.
-    role1 = candidates.join(first, ["k", "n", "b"]).select("k", "n", "b", "c3", "t", F.lit(1).alias("role"), "c")
-    live = candidates.join(first.select("k", "n", "b").distinct(), ["k", "n", "b"], "left_semi")
-    role2 = live.join(second.select("k", F.col("src").alias("b"), F.col("dst").alias("c3"), "t", "c"), ["k", "b", "c3"])
-    role3 = live.join(third.select("k", F.col("src").alias("c3"), F.col("dst").alias("n"), "t", "c"), ["k", "c3", "n"])
-    columns = ["k", "n", "b", "c3", "t", "role", "c"]
-    events = role1.select(columns).unionByName(
-        role2.withColumn("role", F.lit(2)).select(columns)
-    ).unionByName(role3.withColumn("role", F.lit(3)).select(columns))
+    loops = lists.filter("x = y").select("k", F.col("x").alias("loop")).distinct()
+    mates = oriented.select("k", F.inline(F.array(
+        F.struct(F.col("low").alias("loop"), F.col("high").alias("mate")),
+        F.struct(F.col("high").alias("loop"), F.col("low").alias("mate")),
+    )))
+    looped = mates.join(loops, ["k", "loop"]).select("k", F.inline(F.array(
+        F.struct(F.col("loop").alias("n"), F.col("loop").alias("b"), F.col("mate").alias("far")),
+        F.struct(F.col("mate").alias("n"), F.col("loop").alias("b"), F.col("loop").alias("far")),
+    )))
+
+    # A candidate meets its three edge lists in one join.
+    wanted = proper.unionByName(looped).select("k", "n", "b", "far", F.inline(F.array(
+        F.struct(F.lit(1).alias("role"), F.col("n").alias("x"), F.col("b").alias("y")),
+        F.struct(F.lit(2).alias("role"), F.col("b").alias("x"), F.col("far").alias("y")),
+        F.struct(F.lit(3).alias("role"), F.col("far").alias("x"), F.col("n").alias("y")),
+    )))
+    events = wanted.join(lists, ["k", "role", "x", "y"])
 
     def weight(role: int) -> Column:
         return F.when(F.col("role") == role, F.col("c")).otherwise(F.lit(0))
 
     # For a first edge at s: sum over second edges u in (s, s+gap] of
     # c2 * (third edges up to s+2gap - third edges up to u).
-    base = W.partitionBy("k", "n", "b", "c3").orderBy("t")
+    base = W.partitionBy("k", "n", "b", "far").orderBy("t")
     events = events.withColumn("_closed", F.sum(weight(3)).over(base.rangeBetween(W.unboundedPreceding, 0)))
     ahead = base.rangeBetween(1, gap)
     until = F.col("_closed") + F.coalesce(F.sum(weight(3)).over(base.rangeBetween(1, 2 * gap)), F.lit(0))

@@ -42,6 +42,86 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         SELECT o_orderkey AS edge_id, o_custkey AS src, (o_custkey * 7 + o_orderkey * 13) // 11 AS dst,
                {epoch('o_orderdate')} AS t, {cents('o_totalprice')} AS cents, o_totalprice AS value,
                o_orderpriority AS priority, o_orderstatus AS status FROM orders"""),
+    "circles": ([], f"""
+        SELECT o_orderkey AS edge_id, o_custkey AS src,
+               o_custkey // 8 * 8 + (o_custkey * 7 + o_orderkey * 13) % 8 AS dst,
+               {epoch('o_orderdate')} AS t, o_totalprice AS value, o_orderpriority AS period
+        FROM orders WHERE o_totalprice > 400000"""),
+    "flow_labels": (["flows"], """
+        SELECT node_id, max(label) AS label FROM (
+            SELECT src AS node_id, CAST(value > 450000 AS INTEGER) AS label FROM flows
+            UNION ALL SELECT dst, CAST(value > 450000 AS INTEGER) FROM flows) GROUP BY node_id"""),
+    "fraud_edges": (["flows", "flow_labels"], """
+        SELECT f.* FROM flows f JOIN flow_labels a ON a.node_id = f.src AND a.label = 1
+        JOIN flow_labels b ON b.node_id = f.dst AND b.label = 1"""),
+    # Smallest reachable node per fraud node; every row of the recursion is a better label.
+    "components": (["fraud_edges"], """
+        SELECT id AS node_id, comp AS component FROM (
+            WITH RECURSIVE links AS (
+                SELECT src AS a, dst AS b FROM fraud_edges UNION SELECT dst, src FROM fraud_edges),
+            cc(id, comp) USING KEY (id) AS (
+                SELECT DISTINCT a AS id, a AS comp FROM links
+                UNION
+                SELECT l.b, min(cc.comp) FROM cc JOIN links l ON l.a = cc.id
+                JOIN recurring.cc AS known ON known.id = l.b
+                WHERE cc.comp < known.comp GROUP BY l.b)
+            SELECT id, comp FROM cc)"""),
+    "ring_members": (["components"], """
+        SELECT component AS ring_id, node_id FROM components
+        WHERE component IN (SELECT component FROM components GROUP BY component HAVING count(*) >= 2)"""),
+    "rings": (["ring_members", "fraud_edges"], """
+        SELECT m.ring_id, m.num_members, p.start_time, p.completion_time, p.num_edges FROM
+            (SELECT ring_id, count(*) AS num_members FROM ring_members GROUP BY ring_id) m
+        JOIN (SELECT r.ring_id, min(t) AS start_time, max(t) AS completion_time, count(*) AS num_edges FROM
+                (SELECT src, dst, max(t) AS t FROM fraud_edges GROUP BY src, dst) e
+              JOIN ring_members r ON r.node_id = e.src GROUP BY r.ring_id) p USING (ring_id)"""),
+    "reach": (["circles"], """
+        SELECT a, b FROM (
+            WITH RECURSIVE r(a, b) AS (
+                SELECT src, dst FROM circles WHERE src <> dst
+                UNION SELECT r.a, c.dst FROM r JOIN circles c ON c.src = r.b)
+            SELECT a, b FROM r)"""),
+    "strong": (["reach"], """
+        SELECT x.a AS node_id, min(x.b) AS component FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a
+        GROUP BY x.a HAVING count(*) > 1"""),
+    "densities": (["strong", "circles"], """
+        SELECT s.component, s.size, e.edges, e.edges / CAST(s.size * (s.size - 1) AS DOUBLE) AS density FROM
+            (SELECT component, count(*) AS size FROM strong GROUP BY component) s
+        JOIN (SELECT a.component, count(*) AS edges FROM (SELECT DISTINCT src, dst FROM circles) c
+              JOIN strong a ON a.node_id = c.src JOIN strong b ON b.node_id = c.dst
+              WHERE a.component = b.component GROUP BY a.component) e USING (component)"""),
+    # Two hops against the edge direction from every tenth-priority seed.
+    "seeds": (["circles"], """
+        SELECT DISTINCT src AS node_id FROM circles WHERE period = '1-URGENT'"""),
+    "hood": (["seeds", "circles"], """
+        SELECT node_id AS seed, node_id FROM seeds
+        UNION SELECT s.node_id, c.src FROM seeds s JOIN circles c ON c.dst = s.node_id
+        UNION SELECT s.node_id, d.src FROM seeds s JOIN circles c ON c.dst = s.node_id JOIN circles d ON d.dst = c.src"""),
+    "hood_edges": (["hood", "circles"], """
+        SELECT a.seed, c.* FROM circles c JOIN hood a ON a.node_id = c.src
+        JOIN hood b ON b.seed = a.seed AND b.node_id = c.dst"""),
+    "kept": (["hood", "hood_edges"], """
+        SELECT seed FROM hood GROUP BY seed HAVING count(*) >= 3
+        INTERSECT SELECT seed FROM hood_edges GROUP BY seed HAVING count(*) >= 2"""),
+    "sub_nodes": (["hood", "kept"], "SELECT * FROM hood WHERE seed IN (SELECT seed FROM kept)"),
+    "sub_edges": (["hood_edges", "kept"], "SELECT * FROM hood_edges WHERE seed IN (SELECT seed FROM kept)"),
+    "anchor_points": (["sub_nodes", "sub_edges"], """
+        SELECT seed, node_id AS anchor, slot FROM (
+            SELECT n.seed, n.node_id, row_number() OVER (PARTITION BY n.seed ORDER BY coalesce(d.deg, 0) DESC, n.node_id) - 1 AS slot
+            FROM sub_nodes n LEFT JOIN (
+                SELECT seed, v, count(*) AS deg FROM (
+                    SELECT seed, unnest([a, b]) AS v FROM (
+                        SELECT DISTINCT seed, least(src, dst) AS a, greatest(src, dst) AS b FROM sub_edges))
+                GROUP BY seed, v) d ON d.seed = n.seed AND d.v = n.node_id) WHERE slot < 16"""),
+    "distances": (["anchor_points", "sub_edges", "sub_nodes"], """
+        SELECT seed, anchor, node_id, min(dist) AS dist FROM (
+            WITH RECURSIVE und AS (
+                SELECT seed, src AS x, dst AS y FROM sub_edges UNION SELECT seed, dst, src FROM sub_edges),
+            bfs(seed, anchor, node_id, dist) AS (
+                SELECT seed, anchor, anchor, 0 FROM anchor_points
+                UNION SELECT b.seed, b.anchor, u.y, b.dist + 1 FROM bfs b JOIN und u ON u.seed = b.seed AND u.x = b.node_id
+                WHERE b.dist < 9)
+            SELECT * FROM bfs) GROUP BY seed, anchor, node_id"""),
     "lines": ([], f"""
         SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS n, l_partkey AS part, l_suppkey AS supp,
                {cents('l_extendedprice')} AS cents, CAST(l_quantity AS BIGINT) AS qty, l_returnflag AS flag

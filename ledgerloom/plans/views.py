@@ -63,6 +63,26 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def circles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large payments inside groups of eight customers: many small directed cycles."""
+    cust, order = F.col("o_custkey"), F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").filter("o_totalprice > 400000").select(
+        order.alias("edge_id"),
+        cust.alias("src"),
+        (F.floor(cust / 8) * 8 + (cust * 7 + order * 13) % 8).alias("dst"),
+        seconds("o_orderdate").alias("t"),
+        F.col("o_totalprice").alias("value"),
+        F.col("o_orderpriority").alias("period"),
+    )
+
+
+def flow_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label 1 for both ends of a payment over 450 000, else 0."""
+    ends = flows(spark, sf_dir).select(
+        F.explode(F.array("src", "dst")).alias("node_id"), (F.col("value") > 450000).cast("int").alias("label"))
+    return ends.groupBy("node_id").agg(F.max("label").alias("label"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (order, line number): the smallest of the repeated ones."""
     payload = F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_shipdate")
