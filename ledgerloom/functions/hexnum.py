@@ -24,10 +24,13 @@ def _conv(digits: Column) -> Column:
     return F.conv(digits, 16, 10)
 
 
+def is_hex(col: Column) -> Column:
+    return col.rlike(_HEX)
+
+
 def significant_digits(col: Column) -> Column:
-    """Hex digits without prefix and leading zeros; null unless ``0x`` text."""
-    digits = F.regexp_replace(F.lower(col), "^0x0*", "")
-    return F.when(col.rlike(_HEX), digits)
+    """Digits of ``0x`` text without prefix and leading zeros."""
+    return F.ltrim(F.substring(col, F.lit(3), F.length(col)), F.lit("0"))
 
 
 def radix_limbs(digits: Column, base: int, limbs: int, hex_width: int) -> Column:
@@ -61,10 +64,22 @@ def radix_limbs(digits: Column, base: int, limbs: int, hex_width: int) -> Column
 def hex_to_long(col: Column) -> Column:
     """Value as a long; null when the text is not hex or needs more than 63 bits."""
     digits = significant_digits(col)
-    return (
-        F.when(digits == "", F.lit(0).cast("bigint"))
-        .when(F.length(digits) <= 16, _conv(digits).try_cast("bigint"))
-    )
+    short = _conv(F.substring(col, F.lit(3), F.lit(16))).try_cast("bigint")
+    long = F.when(F.length(digits) <= 16, _conv(F.concat(F.lit("0"), digits)).try_cast("bigint"))
+    return F.when(is_hex(col), F.when(F.length(col) <= 18, short).otherwise(long))
+
+
+def _two_limbs(digits: Column) -> Column:
+    """Value of 16 to 29 hex digits as a decimal, from pieces of 15."""
+    low = _conv(F.right(digits, F.lit(15))).cast("decimal(19,0)")
+    high = _conv(F.left(digits, F.length(digits) - 15)).cast("decimal(18,0)")
+    return (high * F.lit(16**15).cast("decimal(19,0)") + low).cast("decimal(38,0)")
+
+
+def _wide_text(digits: Column) -> Column:
+    limbs = radix_limbs(digits, 10**9, 9, 64)
+    text = F.array_join(F.transform(limbs, lambda x: F.lpad(x.cast("string"), 9, "0")), "")
+    return F.ltrim(text, F.lit("0"))
 
 
 def hex_to_text(col: Column) -> Column:
@@ -73,30 +88,25 @@ def hex_to_text(col: Column) -> Column:
     Text that is not a hex quantity passes through unchanged, and null stays null.
     """
     digits = significant_digits(col)
-    limbs = radix_limbs(digits, 10**9, 9, 64)
-    wide = F.array_join(F.transform(limbs, lambda x: F.lpad(x.cast("string"), 9, "0")), "")
-    return (
-        F.when(digits.isNull(), col)
-        .when(digits == "", F.lit("0"))
-        .when(F.length(digits) <= 15, _conv(digits))
-        .when(F.length(digits) <= 64, F.ltrim(wide, F.lit("0")))
+    value = (
+        F.when(F.length(digits) <= 15, _conv(F.concat(F.lit("0"), digits)))
+        .when(F.length(digits) <= 29, _two_limbs(digits).cast("string"))
+        .when(F.length(digits) <= 64, _wide_text(digits))
         .otherwise(col)
     )
+    return F.when(is_hex(col), value).otherwise(col)
 
 
 def hex_to_decimal(col: Column) -> Column:
     """Value as ``decimal(38,0)``; null when it has more than 38 digits."""
     digits = significant_digits(col)
     dec = "decimal(38,0)"
-    low = _conv(F.right(digits, F.lit(15))).cast("decimal(19,0)")
-    high = _conv(F.left(digits, F.length(digits) - 15)).cast("decimal(18,0)")
-    scale = F.lit(16**15).cast("decimal(19,0)")
-    return (
-        F.when(digits == "", F.lit(0).cast(dec))
-        .when(F.length(digits) <= 15, _conv(digits).cast(dec))
-        .when(F.length(digits) <= 29, (high * scale + low).cast(dec))
-        .otherwise(hex_to_text(col).try_cast(dec))
+    value = (
+        F.when(F.length(digits) <= 15, _conv(F.concat(F.lit("0"), digits)).cast(dec))
+        .when(F.length(digits) <= 29, _two_limbs(digits))
+        .when(F.length(digits) <= 64, _wide_text(digits).try_cast(dec))
     )
+    return F.when(is_hex(col), value)
 
 
 def long_to_hex(col: Column, width: int | None = None) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -12,19 +12,17 @@ from ..functions.hexnum import hex_to_decimal, hex_to_long
 from ..functions.text import normalize_address
 from ..session import cut
 
-LEVELS_PER_ROUND = 4
 
-
-def flatten_call_frames(raw: DataFrame, body: str = "body", levels_per_round: int = LEVELS_PER_ROUND) -> DataFrame:
+def flatten_call_frames(raw: DataFrame, body: str = "body") -> DataFrame:
     """Flatten geth-style nested frames, one block per input line.
 
-    Works down the trees level by level, all trees at once. A level is a narrow
-    explode, so several of them run as one stage; the frontier is cut once per
-    round and the loop ends when it is empty. ``trace_address`` is the path of
-    child positions, so ordering by it gives depth-first order.
+    Works down the trees level by level, all trees at once. Each level is parsed once
+    and kept, its children being the next level's input text, and the loop ends when no
+    frame has children. ``trace_address`` is the path of child positions, so ordering by
+    it gives depth-first order.
     """
     line = raw.select(F.from_json(body, S.RAW_GETH_LINE).alias("g"))
-    frontier = line.select(
+    nodes = line.select(
         F.col("g.block_number").alias("block_number"),
         F.posexplode("g.transaction_traces").alias("transaction_index", "node"),
     ).select(
@@ -33,24 +31,20 @@ def flatten_call_frames(raw: DataFrame, body: str = "body", levels_per_round: in
         F.array().cast("array<int>").alias("trace_address"),
         F.coalesce(F.get_json_object("node", "$.result"), F.col("node")).alias("node"),
     )
-    done: list[DataFrame] = []
+    levels: list[DataFrame] = []
     while True:
-        for _ in range(levels_per_round):
-            parsed = frontier.select(
-                "block_number", "transaction_index", "trace_address",
-                F.from_json("node", S.RAW_CALL_FRAME).alias("f"),
-            )
-            done.append(_frame_columns(parsed))
-            frontier = parsed.select(
-                "block_number", "transaction_index", "trace_address",
-                F.posexplode("f.calls").alias("child", "node"),
-            ).select(
-                "block_number", "transaction_index",
-                F.array_append("trace_address", F.col("child")).alias("trace_address"), "node",
-            )
-        frontier = cut(frontier)
-        if frontier.isEmpty():
-            return reduce(DataFrame.unionByName, done)
+        level = cut(_frame_columns(nodes.select(
+            "block_number", "transaction_index", "trace_address",
+            F.from_json("node", S.RAW_CALL_FRAME).alias("f"),
+        )))
+        levels.append(level.drop("calls"))
+        parents = level.filter("subtraces > 0")
+        if parents.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        nodes = parents.select(
+            "block_number", "transaction_index", "trace_address",
+            F.posexplode("calls").alias("child", "node"),
+        ).withColumn("trace_address", F.array_append("trace_address", F.col("child")))
 
 
 def _frame_columns(parsed: DataFrame) -> DataFrame:
@@ -73,6 +67,7 @@ def _frame_columns(parsed: DataFrame) -> DataFrame:
         F.coalesce(F.size("f.calls"), F.lit(0)).cast("bigint").alias("subtraces"),
         "trace_address",
         F.col("f.error").alias("error"),
+        F.col("f.calls").alias("calls"),
     )
 
 

@@ -158,7 +158,8 @@ def raw_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # A block holds at most seven lines.
     listed = tx.groupBy("number").agg(F.array_join(F.collect_list("body"), ",").alias("txs"))
-    b = blocks(spark, sf_dir).join(listed, "number", "left")
+    # The listed text compresses so well that its shuffle size would invite a broadcast.
+    b = blocks(spark, sf_dir).join(listed.hint("merge"), "number", "left")
     bare = F.when(F.col("status") == "P", _quoted(word(F.col("number"))))
     return b.select(_object(**{
         "number": _hex(F.col("number")), "hash": _quoted(F.col("hash")),
