@@ -38,7 +38,7 @@ def _flat_text(field: T.StructField) -> Column:
     kind = field.dataType
     if isinstance(kind, T.ArrayType):
         if isinstance(kind.elementType, (T.StructType, T.MapType)):
-            col = F.transform(col, F.to_json)
+            col = F.transform(col, lambda x: F.to_json(x))
         else:
             col = col.cast("array<string>")
         return F.array_join(col, ",").alias(field.name)
