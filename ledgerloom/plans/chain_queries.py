@@ -644,3 +644,66 @@ def export_all(spark, d):
     tables = run(V.raw_blocks(spark, d), V.raw_receipts(spark, d), code, answers)
     return reduce(DataFrame.unionByName, [
         df.agg(F.count("*").alias("n")).select(F.lit(name).alias("entity"), "n") for name, df in tables.items()])
+
+
+# ---------------------------------------------------------------- marketplace
+
+def _listing_logs(spark, d):
+    """One listing event per order: status decides contract and epoch, the customer the content."""
+    from ..operators import market as M
+
+    old = F.col("o_orderstatus") == "F"
+    v0, v1 = M.MARKET_V0, M.MARKET_V1
+    return V.table(spark, d, "orders").select(
+        F.lit(0).cast("bigint").alias("log_index"), F.lit("0x").alias("transaction_hash"),
+        F.when(old, F.lit(v0[1].upper().replace("0X", "0x"))).otherwise(F.lit(v1[1])).alias("address"),
+        V.word(F.col("o_custkey")).alias("data"),
+        F.array(F.lit(M.LISTING_TOPICS[0]), F.lit("0x0"), V.word(F.col("o_orderkey"))).alias("topics"),
+        # Status P announces a version-1 listing before that version's epoch: it is ignored.
+        (F.when(F.col("o_orderstatus") == "O", F.lit(v1[2])).otherwise(F.lit(v0[2])) + F.col("o_orderkey")).cast("bigint").alias("block_number"))
+
+
+def _shop_documents(spark, d):
+    """Listing, shop page, product list and product detail for every document row."""
+    from ..functions.hexnum import content_hash
+
+    docs = V.table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    key = F.col("doc_id").cast("string")
+    shop = F.concat(F.lit("S"), key)
+    variants = F.array(*[F.struct(F.lit(i).alias("id"), F.concat("lang", F.lit(str(i))).alias("title"), (F.col("n_chars") + i).alias("price")) for i in (1, 2)])
+    rows = F.array(
+        F.struct(content_hash(V.word(F.col("doc_id"))).alias("path"), F.to_json(F.struct(
+            F.col("source").alias("title"), F.col("lang").alias("category"), shop.alias("shopIpfsHash"),
+            F.struct(F.col("n_chars").alias("amount"), F.lit("ETH").alias("currency")).alias("price"))).alias("body")),
+        F.struct(F.concat(shop, F.lit("/index.html")).alias("path"), F.lit('<link rel="data-dir" href="data"/>').alias("body")),
+        F.struct(F.concat(shop, F.lit("/data/products.json")).alias("path"), F.lit('[{"id":"p"},{"title":"no id"}]').alias("body")),
+        F.struct(F.concat(shop, F.lit("/data/p/data.json")).alias("path"), F.to_json(F.struct(
+            key.alias("externalId"), F.col("source").alias("title"), F.col("n_chars").alias("price"), variants.alias("variants"))).alias("body")),
+    )
+    return docs.select(F.inline(rows))
+
+
+_LISTED = """WITH listed AS (SELECT '1-' || CASE o_orderstatus WHEN 'F' THEN '000' ELSE '001' END || '-' || o_orderkey AS listing_id,
+    o_orderkey + CASE o_orderstatus WHEN 'O' THEN 8582597 ELSE 6436157 END AS block_number, d.*
+    FROM orders JOIN documents d ON d.doc_id = o_custkey WHERE o_orderstatus <> 'P')"""
+
+
+@query("marketplace_listings", sql=_LISTED + """
+    SELECT listing_id, '' AS listing_type, lang AS category, source AS title, CAST(n_chars AS VARCHAR) AS price, 'ETH' AS currency, block_number FROM listed""")
+def marketplace_listings(spark, d):
+    from ..operators import market as M
+
+    return M.marketplace_listings(_listing_logs(spark, d), _shop_documents(spark, d)).select(
+        "listing_id", "listing_type", "category", "title", "price", "currency", "block_number")
+
+
+@query("shop_products", sql=_LISTED + """
+    SELECT listing_id || '-p' AS product_id, 'S' || doc_id || '/data/p' AS ipfs_path, CAST(doc_id AS VARCHAR) AS external_id,
+           CAST(NULL AS VARCHAR) AS parent_external_id, source AS title, n_chars AS price, 'fiat-USD' AS currency FROM listed
+    UNION ALL SELECT listing_id || '-' || i, 'S' || doc_id || '/data/p', NULL, CAST(doc_id AS VARCHAR), lang || i, n_chars + i, 'fiat-USD'
+    FROM listed, (VALUES (1), (2)) v(i)""")
+def shop_products(spark, d):
+    from ..operators import market as M
+
+    return M.shop_products(_listing_logs(spark, d), _shop_documents(spark, d)).select(
+        "product_id", "ipfs_path", "external_id", "parent_external_id", "title", "price", "currency")
