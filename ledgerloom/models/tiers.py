@@ -53,8 +53,7 @@ def vector_columns(with_features: bool) -> list[str]:
 def class_weights(labels: DataFrame, label: str = "label") -> DataFrame:
     """``(label, weight)`` with weight n / (2 n_class): one row per class."""
     counts = labels.groupBy(label).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total)).select(label, (F.col("total") / (2.0 * F.col("n"))).alias("weight"))
+    return counts.select(label, (F.lit(labels.count()) / (2.0 * F.col("n"))).alias("weight"))
 
 
 def positive_weight(labels: DataFrame, label: str = "label", limit: float | None = None) -> float:
@@ -149,10 +148,12 @@ def evaluate(scored: DataFrame, threshold: float = 0.5, by: list[str] | None = N
     points = curve(scored, by=by)
     flags = scored.withColumns({"predicted": (F.col("score") >= threshold).cast("int"), "actual": F.col("label")})
     counts = confusion_metrics(confusion(flags, by=by))
-    parts = [auc_roc(points, by), average_precision(points, by)]
-    for part in parts:
-        counts = counts.join(part, by) if by else counts.join(F.broadcast(part))
-    return counts
+    # Without groups each side is one row, joined on a constant.
+    keys = by or ["_one"]
+    one = (lambda df: df) if by else (lambda df: df.withColumn("_one", F.lit(1)))
+    for part in (auc_roc(points, by), average_precision(points, by)):
+        counts = one(counts).join(one(part), keys)
+    return counts if by else counts.drop("_one")
 
 
 def cross_period(rows: DataFrame, columns: list[str], train_periods: list[str], test_period: str, rounds: int = ROUNDS) -> DataFrame:

@@ -201,6 +201,6 @@ def multi_period_ids(nodes: DataFrame) -> DataFrame:
     sizes = nodes.groupBy("period").agg((F.max("node_id") + 1).alias("_size"))
     before = W.partitionBy(F.lit(0)).orderBy("period").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("period", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    return nodes.join(F.broadcast(offsets), "period").withColumn(
+    return nodes.join(offsets, "period").withColumn(
         "global_id", F.col("node_id") + F.col("_offset")
     ).drop("_offset")

@@ -63,9 +63,10 @@ def hash_rank(df: DataFrame, key: str, seed: int, within: list[str]) -> DataFram
     hashed = df.withColumn("_h", unit_hash(seed, key))
     ranked = dense_index(hashed, "rank", [F.col("_h"), F.col(key)], {
         "coarse": F.floor(F.col("_h") * 1024), "fine": F.floor(F.col("_h") * 1048576)}, within)
-    sizes = df.groupBy(*within).agg(F.count("*").alias("total")) if within else df.agg(F.count("*").alias("total"))
-    # One row per class, or a single row.
-    joined = ranked.join(F.broadcast(sizes), within) if within else ranked.join(F.broadcast(sizes))
+    if within:
+        joined = ranked.join(df.groupBy(*within).agg(F.count("*").alias("total")), within)
+    else:
+        joined = ranked.withColumn("total", F.lit(df.count()).cast("bigint"))
     return joined.drop("_h")
 
 
