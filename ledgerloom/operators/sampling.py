@@ -34,12 +34,16 @@ def unit_hash(seed: int, *columns: str) -> Column:
 
 
 def lowest_hash(df: DataFrame, n: int, seed: int, key: list[str]) -> DataFrame:
-    """``n`` rows with the lowest hash: a top-k, so no task sorts everything."""
+    """``n`` rows with the lowest hash, for small ``n``: a top-k, merged in one task."""
     return df.withColumn("_h", F.xxhash64(F.lit(seed), *key)).orderBy("_h", *key).limit(n).drop("_h")
 
 
 def cap_edges(edges: DataFrame, cap: int = EDGE_CAP, seed: int = 42) -> DataFrame:
-    return lowest_hash(edges, cap, seed, ["edge_id"])
+    """At most ``cap`` edges, the lowest in hash order.
+
+    The cap is large, so ranks come from bucketed running sums instead of a top-k.
+    """
+    return hash_rank(edges, "edge_id", seed, []).filter(F.col("rank") < cap).drop("rank", "total")
 
 
 def balanced_seeds(labels: DataFrame, per_class: int | None = None, seed: int = 42) -> DataFrame:
