@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import cut
+from ledgerloom import session
 
 __all__ = ["SLICE_BYTES", "cut", "row_key", "held_out", "read", "text_bytes", "row_slices", "Words", "word_hashes",
            "window_hashes", "lower_table", "SPACE_SPLIT", "ALNUM", "mix64", "training_rows", "planes", "unplanes", "mapped"]
@@ -30,6 +30,23 @@ ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint whose shuffle files go as soon as the copy is written.
+
+    The copy in the shared folder has no lineage, so nothing reads those files again.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES, "false")
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        return session.cut(df)
+    finally:
+        conf.set(FREE_SHUFFLES, before)
+
+
 def _powers(base: np.uint64, n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006 - kept between calls on purpose
     have = cache.get(int(base))
     if have is None or len(have) < n:

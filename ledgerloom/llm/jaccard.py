@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, mix64, planes, read, row_key, row_slices, text_bytes, unplanes, window_hashes, word_hashes
+from ledgerloom.llm.common import cut, mapped, mix64, planes, read, row_key, row_slices, text_bytes, unplanes, window_hashes, word_hashes
 from ledgerloom.llm.links import components
 
 SHINGLE = 3
@@ -106,53 +106,51 @@ def _stars(sigs: np.ndarray, keys: np.ndarray):
     return sigs[first], keys[first], pairs
 
 
-def _sets(documents: DataFrame, size: int, t: float, bits: int) -> DataFrame:
-    """One pass over the texts: a row per document, and the signatures of each slice by range."""
-    def task(batches):
-        for batch in batches:
-            ids, row_keys = batch.column(0), np.asarray(batch.column(2)).astype(np.int64)
-            n_rows = batch.num_rows
-            sizes, one, two = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64)
-            seen: set = set()
-            sigs, owners = [], []
-            for row, hashes in shingle_sets(batch.column(1), size):
-                if not len(hashes):
-                    continue
-                sizes[row] = len(hashes)
-                one[row] = np.add.reduce(hashes).astype(np.int64)
-                two[row] = np.bitwise_xor.reduce(mix64(hashes + _SALT)).astype(np.int64)
-                content = (sizes[row], one[row], two[row])
-                if content in seen:
-                    continue  # an equal set of this slice has signed already
-                seen.add(content)
-                sigs.append(signatures(hashes, t))
-                owners.append(np.full(len(sigs[-1]), row_keys[row]))
-            rows = [batch.column(0), pa.array(sizes), pa.array(row_keys), pa.array(one), pa.array(two)]
-            empty = pa.nulls(n_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([*rows, pa.nulls(n_rows, pa.int32()), empty, empty, empty, empty], _NAMES)
-            if not sigs:
+def _rows(documents: DataFrame, size: int) -> DataFrame:
+    """``(doc_id, key, n, c1, c2)``: the size of every set and 128 bits of its content."""
+    def run(batch):
+        sizes, one, two = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+        for row, hashes in shingle_sets(batch.column(1), size):
+            sizes[row], one[row], two[row] = _content(hashes)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes), pa.array(one), pa.array(two)], ["doc_id", "key", "n", "c1", "c2"])
+    return mapped(documents.select("doc_id", "text", row_key().alias("key")), run, "doc_id long, key long, n long, c1 long, c2 long")
+
+
+def _content(hashes: np.ndarray) -> tuple[int, int, int]:
+    if not len(hashes):
+        return 0, 0, 0
+    return len(hashes), np.add.reduce(hashes).astype(np.int64), np.bitwise_xor.reduce(mix64(hashes ^ (_SALT >> np.uint64(1)))).astype(np.int64)
+
+
+def _signed(documents: DataFrame, size: int, t: float, bits: int) -> DataFrame:
+    """Signatures and stars of each slice of documents, by range."""
+    def run(batch):
+        keys = np.asarray(batch.column(1)).astype(np.int64)
+        seen: set = set()
+        sigs, owners = [], []
+        for row, hashes in shingle_sets(batch.column(0), size):
+            content = _content(hashes)
+            if not content[0] or content in seen:
+                continue  # nothing to sign, or an equal set of this slice has signed already
+            seen.add(content)
+            sigs.append(signatures(hashes, t))
+            owners.append(np.full(len(sigs[-1]), keys[row]))
+        if not sigs:
+            return
+        sig, key, pairs = _stars(np.concatenate(sigs), np.concatenate(owners))
+        ranges = (sig >> np.uint64(64 - bits)).astype(np.int64)
+        pair_ranges = mix64(pairs[:, 0].astype(np.uint64)) >> np.uint64(64 - bits)
+        out: list[list] = [[], [], [], [], []]
+        for r in range(1 << bits):
+            a, b = np.searchsorted(ranges, [r, r + 1])
+            mine = pairs[pair_ranges == r]
+            if a == b and not len(mine):
                 continue
-            sig, key, pairs = _stars(np.concatenate(sigs), np.concatenate(owners))
-            ranges = (sig >> np.uint64(64 - bits)).astype(np.int64)
-            pair_ranges = mix64(pairs[:, 0].astype(np.uint64)) >> np.uint64(64 - bits) if len(pairs) else np.zeros(0, np.uint64)
-            blobs = [[], [], [], [], []]
-            for r in range(1 << bits):
-                a, b = np.searchsorted(ranges, [r, r + 1])
-                mine = pairs[pair_ranges == r]
-                if a == b and not len(mine):
-                    continue
-                for out, value in zip(blobs, (r, planes(sig[a:b]), planes(key[a:b].astype(np.uint64)),
-                                              planes(mine[:, 0].astype(np.uint64)), planes(mine[:, 1].astype(np.uint64)))):
-                    out.append(value)
-            n = len(blobs[0])
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(blobs[0], pa.int32()),
-                                              *[pa.array(x, pa.binary()) for x in blobs[1:]]], _NAMES)
-    return documents.select("doc_id", "text", row_key().alias("key")).mapInArrow(
-        task, "doc_id long, n long, key long, c1 long, c2 long, range int, sigs binary, owners binary, a binary, b binary")
-
-
-_NAMES = ["doc_id", "n", "key", "c1", "c2", "range", "sigs", "owners", "a", "b"]
+            for column, value in zip(out, (r, planes(sig[a:b]), planes(key[a:b].astype(np.uint64)),
+                                           planes(mine[:, 0].astype(np.uint64)), planes(mine[:, 1].astype(np.uint64)))):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]], ["range", "sigs", "owners", "a", "b"])
+    return mapped(documents.select("text", row_key().alias("key")), run, "range int, sigs binary, owners binary, a binary, b binary")
 
 
 def _range_stars(table: pa.Table) -> pa.Table:
@@ -251,9 +249,9 @@ def join(documents: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] =
     documents = documents.select("doc_id", "text")
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(5, math.ceil(math.log2(max(1, total / RANGE_BYTES))))
-    passed = cut(_sets(documents, size, num / den, bits))
-    rows = passed.filter("n IS NOT NULL").select("doc_id", "n", "key", "c1", "c2")
-    stars = passed.filter("range IS NOT NULL").groupBy("range").applyInArrow(_range_stars, "a long, b long")
+    # Two passes over the texts cost less than a copy of the signatures on the shared folder.
+    rows = cut(_rows(documents, size))
+    stars = _signed(documents, size, num / den, bits).groupBy("range").applyInArrow(_range_stars, "a long, b long")
     groups = components(stars)
 
     # Equal sets: the smallest key stands for all of them.

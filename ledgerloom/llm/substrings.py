@@ -80,7 +80,7 @@ def without_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
                          pa.array(out["_kept"], pa.string()), pa.array(out["_rest"], pa.string()),
                          pa.array(out["_spans"], pa.list_(pa.list_(pa.int64())))], names=["_row", *out])
 
-    asked = exchange.ask(rows.select("text", "_chunk"), layout.bits, keys)
+    asked = exchange.ask(rows, layout.bits, keys)
     done = exchange.finish(rows, exchange.answer(asked, _several), run, kind)
     return done.select(*[F.col("_row")[c].alias(c) for c in others], *[f.name for f in kind.fields[1:]])
 
