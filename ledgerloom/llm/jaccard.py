@@ -36,7 +36,8 @@ from ledgerloom.llm.links import components
 SHINGLE = 3
 THRESHOLD = (90, 100)
 RANGE_BYTES = 16 << 20  # text whose signatures meet in one range
-BLOCK_BYTES = 2 << 20
+BLOCK_SHINGLES = 300_000  # a block of a group holds about so many, and so many members
+BLOCK_MEMBERS = 1024
 CLASS_RATIO = 1.5
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -259,24 +260,20 @@ def join(documents: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] =
     equal = cut(rows.filter("n > 0").groupBy(*content).agg(F.min("key").alias("_rep")))
     named = cut(rows.join(equal, content, "left").select("doc_id", "n", "key", "_rep"))
     # Any row of an equal set may have signed for it; all of them are in one group.
-    members = groups.withColumnRenamed("v", "key").join(named.filter("n > 0").select("key", "_rep"), "key").select(
-        F.col("_rep").alias("key"), "root").distinct()
-    sized = cut(members.groupBy("root").agg(F.count("*").alias("_m")).filter("_m > 1"))
-    members = cut(members.join(sized, "root"))
-    texts = documents.withColumn("key", row_key()).join(members.hint("shuffle_merge"), "key").dropDuplicates(["key"])
-    texts = cut(texts.select("key", "root", "text", F.octet_length("text").cast("long").alias("_bytes")))
-
-    groups_bytes = texts.groupBy("root").agg(F.sum("_bytes").alias("_sum"), F.count("*").alias("_m"))
-    blocks = F.ceil(F.greatest(F.col("_sum") / BLOCK_BYTES, F.col("_m") / 2048)).cast("int")
-    sizes = cut(groups_bytes.select("root", blocks.alias("_blocks")))
-    packs = max(1, math.ceil((texts.agg(F.sum("_bytes")).first()[0] or 0) / BLOCK_BYTES))
-    placed = texts.join(sizes, "root").withColumn("_mine", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int"))
-    meets = F.expr("transform(sequence(0, _blocks - 1), i -> struct(least(i, _mine) AS lo, greatest(i, _mine) AS hi))")
-    single = placed.filter("_blocks = 1").select(
-        F.pmod(F.xxhash64("root"), F.lit(packs)).alias("_g"), F.lit(-1).alias("_lo"), F.lit(-1).alias("_hi"), "key", "text")
-    several = placed.filter("_blocks > 1").withColumn("_p", F.explode(meets)).select(
-        F.col("root").alias("_g"), F.col("_p.lo").alias("_lo"), F.col("_p.hi").alias("_hi"), "key", "text")
-    found = cut(single.unionByName(several).groupBy("_g", "_lo", "_hi").applyInArrow(_links_in_block(size, num, den), "a long, b long"))
+    members = cut(groups.withColumnRenamed("v", "key").join(named.filter("n > 0").select("key", "_rep", "n"), "key").select(
+        F.col("_rep").alias("key"), "root", "n").distinct())
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS)).cast("int")
+    sized = cut(members.groupBy("root").agg(F.count("*").alias("_m"), F.sum("n").alias("_sum"), blocks.alias("_blocks")).filter("_m > 1"))
+    packs = max(1, math.ceil((sized.agg(F.sum("_sum")).first()[0] or 0) / BLOCK_SHINGLES))
+    members = cut(members.join(sized, "root").select("key", "root", "_blocks"))
+    placed = documents.select("text", row_key().alias("key")).join(members.hint("shuffle_merge"), "key").dropDuplicates(["key"])
+    # A member of a group of several blocks goes where its block meets each of them.
+    meets = F.when(F.col("_blocks") > 1, F.expr("transform(sequence(0, _blocks - 1), i -> struct(least(i, _mine) AS lo, greatest(i, _mine) AS hi))")).otherwise(
+        F.array(F.struct(F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))))
+    placed = placed.withColumn("_mine", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int")).withColumn("_p", F.explode(meets)).select(
+        F.when(F.col("_blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(packs))).alias("_g"),
+        F.col("_p.lo").alias("_lo"), F.col("_p.hi").alias("_hi"), "key", "text")
+    found = cut(placed.groupBy("_g", "_lo", "_hi").applyInArrow(_links_in_block(size, num, den), "a long, b long"))
 
     # Links between sets, then the smallest id of each component over all rows.
     roots = components(found)
