@@ -1,9 +1,9 @@
 """Similarity join on word shingles by T-occurrence search (DivideSkip).
 
 1. Every text becomes its set of distinct shingle hashes. The hash space is cut into so
-   many parts that two sets which may be linked differ in fewer hashes than there are
-   parts; a signature per part is the hash of the set's members in it. Linked sets
-   therefore share a signature of at least one part. The number of parts comes from the
+   many parts that two sets which may be linked agree in two parts at least; a signature is
+   the hash of the set's members in a part, or in two parts with few members. Linked
+   sets therefore share a signature. The number of parts comes from the
    size class of a set; sets near the upper end of their class also sign as the next.
 2. Signatures are gathered by ranges. Sets sharing one form stars around their smallest
    member, first inside a slice of documents, then inside a range, so a signature that very
@@ -38,7 +38,7 @@ THRESHOLD = (90, 100)
 RANGE_BYTES = 16 << 20  # text whose signatures meet in one range
 BLOCK_SHINGLES = 300_000  # a block of a group holds about so many, and so many members
 BLOCK_MEMBERS = 1024
-CLASS_RATIO = 1.5
+CLASS_RATIO = 1.3
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -68,13 +68,18 @@ def size_class(n: int, ratio: float = CLASS_RATIO) -> int:
 
 
 def class_parts(k: int, t: float, ratio: float = CLASS_RATIO) -> int:
-    """One part more than the members in which linked sets up to the size class's upper end may differ."""
+    """Two parts more than the members in which linked sets up to the size class's upper end may differ."""
     top = math.ceil(ratio ** (k + 1))
-    return int(2 * top * (1 - t) / (1 + t) + 1e-9) + 1
+    return int(2 * top * (1 - t) / (1 + t) + 1e-9) + 2
 
 
 def signatures(hashes: np.ndarray, t: float) -> np.ndarray:
-    """Signatures of a set in its own class, and in the next if a linked set may lie there."""
+    """Signatures of a set in its own class, and in the next if a linked set may lie there.
+
+    Linked sets agree in two parts at least. A part with enough members signs alone. Parts
+    with hardly any would bring together unlike sets, so those sign in pairs: two sets
+    that agree in such parts only still share the signature of a pair.
+    """
     n = len(hashes)
     if not n:
         return hashes
@@ -85,11 +90,16 @@ def signatures(hashes: np.ndarray, t: float) -> np.ndarray:
         if k > own and size_class(int(n / t + 1e-9)) == own:
             break
         parts = class_parts(k, t)
-        part = (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        at = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
+        part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        at = np.flatnonzero(np.diff(part, prepend=-1))
         sums = np.zeros(parts, np.uint64)
         sums[part[at]] = np.add.reduceat(mixed, at)
-        out.append(mix64(sums ^ mix64(np.arange(parts, dtype=np.uint64) + np.uint64((k + 1) << 32))))
+        sums = mix64(sums ^ mix64(np.arange(parts, dtype=np.uint64) + np.uint64((k + 1) << 32)))
+        light = np.bincount(part, minlength=parts) <= (3 if parts <= 128 else 1)
+        out.append(sums[~light])
+        i, j = np.triu_indices(int(light.sum()), 1)
+        weak = sums[light]
+        out.append(mix64(weak[i] * np.uint64(3) + weak[j]))
     return np.concatenate(out)
 
 
