@@ -175,17 +175,17 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_class: int) -> list[tuple[str, int]]:
-    """At most ``per_class`` labelled texts of each class, by hash order of the id, outside the held-out fold.
+def training_rows(documents: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_class: int, others: int = 1) -> list[tuple[str, int]]:
+    """At most ``per_class`` labelled texts of class 1 and ``others`` times as many of class 0, by hash order of
+    the id, outside the held-out fold.
 
-    The bound is a parameter of the model. Only the chosen ids (at most twice
-    ``per_class``) reach the driver and are broadcast to the scan of the texts.
+    The bound is a parameter of the model. Only the chosen ids (a bounded number) reach the driver and are broadcast to the scan of the texts.
     """
     usable = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold)).select(
         "doc_id", F.col(label).cast("int").alias("y")).distinct()
     chosen = None
     for value in (0, 1):
-        part = usable.filter(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        part = usable.filter(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class if value else per_class * others)
         chosen = part if chosen is None else chosen.unionByName(part)
     spark = documents.sparkSession
     small = spark.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, y int")

@@ -27,18 +27,27 @@ SLICE = 512 << 10
 FOLDS, FOLD = 4, 2
 
 
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
 def _counts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Trigram counts per row. Trigrams across rows do not count."""
+    """Trigram counts per row. Runs of other bytes than letters count as one gap; trigrams across rows do not count."""
     rows = len(bounds) - 1
     out = np.zeros((rows, DIMENSIONS), np.float32)
-    if len(data) < 3:
+    letter = _LETTERS[data]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(bounds))[keep]
+    if len(row) < 3:
         return out
-    h = lower_table(True)[data]
+    table = lower_table(True)
+    table[~_LETTERS] = table[0x20]
+    h = table[data[keep]]
     h = (h[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) ^ h[2:]
     h = ((h * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - 12)).astype(np.int64)
-    row = np.repeat(np.arange(rows), np.diff(bounds))
     inside = row[:-2] == row[2:]
-    return np.bincount((row[:-2] * DIMENSIONS + h)[inside], minlength=rows * DIMENSIONS).reshape(rows, DIMENSIONS).astype(np.float32)
+    return np.bincount((row[:-2] * np.int64(DIMENSIONS) + h)[inside], minlength=rows * DIMENSIONS).reshape(rows, DIMENSIONS).astype(np.float32)
 
 
 def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:

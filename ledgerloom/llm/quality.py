@@ -82,6 +82,8 @@ class ByteNetwork:
                     ends = max(1, len(texts[i]) - 2 * size - WIDTH + 1)
                     for q, at in enumerate(rng.integers(0, ends, CHUNKS)):
                         x[r, q] = texts[i][at: at + size + WIDTH]
+                        if rng.random() < 0.1:  # texts of a few words occur as well
+                            x[r, q, rng.integers(4, 100):] = 0
                 values = self.responses(x, size)
                 at = values.argmax(2)
                 pooled = np.take_along_axis(values, at[:, :, None], 2)[:, :, 0]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pathlib
 
-from ledgerloom.llm import contamination, jaccard, mixing, substrings
+from ledgerloom.llm import contamination, jaccard, language, lm, mixing, quality, substrings, topk, toxicity
 
 ROOT = str(pathlib.Path(__file__).resolve().parents[2])
 
@@ -21,10 +21,15 @@ def _with_path(query):
 
 
 QUERIES = {name: _with_path(query) for name, query in {
+    "op1_quality": quality.op1,
+    "op2_toxicity": toxicity.op2,
     "op3_substring_dedup": substrings.op3,
     "op4_decontamination": contamination.op4,
     "op5_jaccard_join": jaccard.op5,
+    "op6_lm_scores": lm.op6,
     "op7_source_mix": mixing.op7,
+    "op8_top_k": topk.op8,
+    "op9_language": language.op9,
 }.items()}
 
 ORACLES = {
@@ -32,4 +37,5 @@ ORACLES = {
     "op4_decontamination": contamination.ORACLE,
     "op5_jaccard_join": jaccard.ORACLE,
     "op7_source_mix": mixing.ORACLE,
+    "op8_top_k": topk.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 Two bigram models, one of toxic and one of ordinary texts, share the lowest order: the
 number of different words a word follows, counted over both classes, and a uniform part for
-words never seen. A class's word probability takes an absolute discount off its counts and
+words never seen. Pairs are counted once per word before them and words once per pair. A class's word probability takes an absolute discount off its counts and
 gives what it saves to that shared distribution; its bigram probability does the same with
 the word probability. An expression that is rare in both classes so gets nearly the same
 probability from both.
@@ -10,7 +10,8 @@ probability from both.
 A text is compared in overlapping windows of ``WINDOW`` words: the difference of the two
 log-likelihoods divided by the words of the window. The largest difference and the one of
 the whole text are mapped to a probability by a logistic unit, fitted on a part of the
-sample that the counts leave out. At most ``PER_CLASS`` labelled texts of each class are used.
+sample that the counts leave out. At most ``PER_CLASS`` toxic and ``OTHERS``
+times as many ordinary labelled texts are used.
 
 Null, empty and word-less texts have no evidence: their differences are 0. Without labelled
 rows of both classes every score is 0. Equal texts get equal scores.
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import ALNUM, held_out, mapped, mix64, read, row_slices, text_bytes, training_rows, word_hashes
 
-WINDOW = 8
-PER_CLASS = 1500
-DISCOUNT = 0.8
+WINDOW = 4
+PER_CLASS, OTHERS = 1500, 3  # bounds of the sample: toxic texts, and ordinary ones per toxic one
+# Taken off counts of 1, 2, ... and of the last and above: an expression seen a few times only says nothing of its class.
+DISCOUNTS = (0.0, 1.0, 2.0, 3.0, 4.0)
 FOLDS, FOLD = 5, 0
 _START = np.uint64(0x5851F42D4C957F2D)
 
@@ -51,36 +53,50 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class KneserNey:
     """Log ratios of the toxic to the ordinary model, as sorted tables."""
 
-    def __init__(self, toxic: list[str], ordinary: list[str], discount: float = DISCOUNT):
+    def __init__(self, toxic: list[str], ordinary: list[str], discounts: tuple[float, ...] = DISCOUNTS):
+        def off(c):
+            return np.array(discounts)[np.minimum(c, len(discounts) - 1).astype(np.int64)]
+
         counts = []
         for texts in (toxic, ordinary):
             data, bounds = text_bytes(pa.array(texts, pa.string()))
             words = word_hashes(data, bounds, ALNUM, True)
-            counts.append((words.hashes, *_bigrams(words)))
+            before, both = _bigrams(words)
+            # Every order counts different continuations: a pair once per word before it, a word
+            # once per pair. A passage that is copied many times counts like one.
+            older = np.empty_like(before)
+            if len(before):
+                older[1:] = before[:-1]
+                starts = words.first[:-1]
+                older[starts[starts < len(before)]] = _START
+            once = np.unique(mix64(older * np.uint64(5) + both), return_index=True)[1]
+            once.sort()
+            single = np.unique(both, return_index=True)[1]
+            counts.append((words.hashes[once], before[once], both[once], words.hashes[single]))
         # Shared backoff: of how many different words is this one a follower, in either class.
         pairs, at = np.unique(np.concatenate([c[2] for c in counts]), return_index=True)
         followers = np.concatenate([c[0] for c in counts])[at]
         self.words, shared = np.unique(followers, return_counts=True)
         v = len(self.words)
-        shared = np.append((shared - discount) / len(pairs), 0) + discount * v / len(pairs) / (v + 1)  # the last one: any unknown word
+        shared = np.append(shared - 0.75, 0) / len(pairs) + 0.75 * v / len(pairs) / (v + 1)  # the last one: any unknown word
         word_p, contexts, backoff, pair_p = [], np.unique(np.concatenate([c[1] for c in counts])), [], []
         self.pairs, self.contexts = pairs, contexts
         first_word = np.searchsorted(self.words, followers)
         first_before = np.searchsorted(contexts, np.concatenate([c[1] for c in counts])[at])
-        for hashes, before, both in counts:
+        for _, before, both, hashes in counts:
             n = max(1, len(hashes))
             c = np.append(np.bincount(np.searchsorted(self.words, hashes), minlength=v), 0)
-            p = np.maximum(c - discount, 0) / n + discount * (c > 0).sum() / n * shared
+            p = (c - off(c)) / n + off(c).sum() / n * shared
             if not len(hashes):
                 p = shared
             own, inverse = np.unique(both, return_inverse=True)
             pair_count = np.zeros(len(pairs))
             pair_count[np.searchsorted(pairs, own)] = np.bincount(inverse, minlength=len(own))
             context_count = np.bincount(np.searchsorted(contexts, before), minlength=len(contexts))
-            kinds = np.bincount(first_before, weights=pair_count > 0, minlength=len(contexts))
+            saved = np.bincount(first_before, weights=off(pair_count), minlength=len(contexts))
             with np.errstate(divide="ignore", invalid="ignore"):
-                rest = np.where(context_count > 0, discount * kinds / context_count, 1.0)
-                here = np.where(context_count[first_before] > 0, np.maximum(pair_count - discount, 0) / context_count[first_before], 0)
+                rest = np.where(context_count > 0, saved / context_count, 1.0)
+                here = np.where(context_count[first_before] > 0, (pair_count - off(pair_count)) / context_count[first_before], 0)
             word_p.append(np.log(p))
             backoff.append(np.log(rest))
             pair_p.append(np.log(here + rest[first_before] * p[first_word]))
@@ -148,7 +164,7 @@ class Scorer:
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: int = FOLDS, fold: int = FOLD) -> Scorer | None:
-    rows = training_rows(documents, labels, "toxic", folds, fold, per_class)
+    rows = training_rows(documents, labels, "toxic", folds, fold, per_class, OTHERS)
     if len({y for _, y in rows}) < 2:
         return None
     return Scorer(rows)
