@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pathlib
 
-from ledgerloom.llm import contamination, jaccard, language, lm, mixing, quality, substrings, topk, toxicity
+import corpus_pipeline
+from ledgerloom.llm import contamination, jaccard, language, lm, mixing, pagetext, quality, substrings, topk, toxicity
 
 ROOT = str(pathlib.Path(__file__).resolve().parents[2])
 
@@ -30,6 +31,8 @@ QUERIES = {name: _with_path(query) for name, query in {
     "op7_source_mix": mixing.op7,
     "op8_top_k": topk.op8,
     "op9_language": language.op9,
+    "op10_html_text": pagetext.op10,
+    "pipeline": corpus_pipeline.run,
 }.items()}
 
 ORACLES = {

@@ -42,8 +42,8 @@ def _several(keys, starts, _values):
     return [np.packbits(twice[a:b]).tobytes() for a, b in zip(starts[:-1], starts[1:])], None
 
 
-def without_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Input columns except ``text``, and ``_n_words``, ``_n_removed``, ``_kept`` (words joined by a space),
+def without_repeats(documents: DataFrame, width: int = WIDTH, with_text: bool = False) -> DataFrame:
+    """Input columns (``text`` only on request), and ``_n_words``, ``_n_removed``, ``_kept`` (words joined by a space),
     ``_rest`` (the text itself without the intervals; white space after a kept word stays) and
     ``_spans`` (removed intervals as word positions, end excluded)."""
     layout = exchange.Layout(documents)
@@ -56,7 +56,8 @@ def without_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 
     kind = T.StructType([rows.schema["_row"], T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()),
                          T.StructField("_kept", T.StringType()), T.StructField("_rest", T.StringType()),
-                         T.StructField("_spans", T.ArrayType(T.ArrayType(T.LongType())))])
+                         T.StructField("_spans", T.ArrayType(T.ArrayType(T.LongType()))),
+                         *([T.StructField("text", T.StringType())] if with_text else [])])
 
     def run(table, replies):
         out = {"_n_words": [], "_n_removed": [], "_kept": [], "_rest": [], "_spans": []}
@@ -76,9 +77,10 @@ def without_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
             _cut_rows(part, bounds, words, hit, width, out)
         # Struct columns go through as they came.
         arrays = [table["_row"].combine_chunks() if table.num_rows else table["_row"]]
+        text = {"text": table["text"]} if with_text else {}
         return pa.table([*arrays, pa.array(out["_n_words"], pa.int64()), pa.array(out["_n_removed"], pa.int64()),
                          pa.array(out["_kept"], pa.string()), pa.array(out["_rest"], pa.string()),
-                         pa.array(out["_spans"], pa.list_(pa.list_(pa.int64())))], names=["_row", *out])
+                         pa.array(out["_spans"], pa.list_(pa.list_(pa.int64()))), *text.values()], names=["_row", *out, *text])
 
     asked = exchange.ask(rows, layout.bits, keys)
     done = exchange.finish(rows, exchange.answer(asked, _several), run, kind)
