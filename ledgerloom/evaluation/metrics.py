@@ -82,12 +82,12 @@ def size_bucket(n: Column) -> Column:
     )
 
 
-def latency_by_size(rows: DataFrame, min_count: int = 3) -> DataFrame:
-    """Latency summary per node-count bucket; sparse buckets are left out."""
+def latency_by_size(rows: DataFrame) -> DataFrame:
+    """Latency summary per node-count bucket, with the rows of each."""
     bucketed = rows.withColumn("bucket", size_bucket(F.col("num_nodes")))
     return latency_summary(bucketed, by=["bucket"]).join(
         bucketed.groupBy("bucket").agg(F.avg("num_nodes").alias("avg_nodes")), "bucket"
-    ).filter(F.col("total_processed") >= min_count)
+    )
 
 
 def runs_summary(runs: DataFrame, metrics: list[str], by: str = "config") -> DataFrame:

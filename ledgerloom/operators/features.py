@@ -53,14 +53,11 @@ def inter_tx_times(edges: DataFrame) -> DataFrame:
     return inter_event_stats(both_ends(edges, "t").select("node", "t"))
 
 
-PAGERANK_NODE_LIMIT = 100_000
-
-
-def address_features(edges: DataFrame, rank_limit: int = PAGERANK_NODE_LIMIT, with_rank: bool = True) -> DataFrame:
+def address_features(edges: DataFrame, with_rank: bool = True) -> DataFrame:
     """Degrees, sums, means, counterparties, gap statistics, span and rank per node.
 
     On the simple graph a node's degree equals its distinct counterparties. PageRank
-    is 0 for graphs with ``rank_limit`` nodes or more.
+    is 0 without ``with_rank``.
     """
     simple = simple_graph(edges)
     sides = both_ends(simple, "t", "value")
@@ -81,7 +78,7 @@ def address_features(edges: DataFrame, rank_limit: int = PAGERANK_NODE_LIMIT, wi
         "unique_in_counterparties": F.col("in_degree"),
     })
     ranks = None
-    if with_rank and base.count() < rank_limit:
+    if with_rank:
         ranks = pagerank(edges).select(F.col("node_id").alias("node"), "pagerank")
     result = result.join(ranks, "node", "left") if ranks is not None else result.withColumn("pagerank", F.lit(0.0))
     return result.withColumn("pagerank", F.coalesce("pagerank", F.lit(0.0))).withColumnRenamed("node", "node_id")

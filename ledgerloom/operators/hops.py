@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,7 +66,7 @@ def anchors(sub_edges: DataFrame, nodes: DataFrame, k: int = ANCHORS) -> DataFra
     return ranked.filter(F.col("slot") < k).select("seed", F.col("node_id").alias("anchor"), "slot")
 
 
-def hop_distances(sub_edges: DataFrame, sources: DataFrame, max_rounds: int = MAX_NODES) -> DataFrame:
+def hop_distances(sub_edges: DataFrame, sources: DataFrame) -> DataFrame:
     """``(seed, anchor, node_id, dist)`` over undirected edges, all sources at once."""
     links = sub_edges.select("seed", F.explode(F.array(
         F.struct(F.col("src").alias("node_id"), F.col("dst").alias("next")),
@@ -73,7 +75,7 @@ def hop_distances(sub_edges: DataFrame, sources: DataFrame, max_rounds: int = MA
     links = cut(links)
     reached = cut(sources.select("seed", "anchor", F.col("anchor").alias("node_id"), F.lit(0).alias("dist")))
     frontier = reached
-    for dist in range(1, max_rounds + 1):
+    for dist in itertools.count(1):
         step = frontier.join(links, ["seed", "node_id"]).select("seed", "anchor", F.col("next").alias("node_id")).distinct()
         frontier = cut(step.join(reached, ["seed", "anchor", "node_id"], "left_anti").withColumn("dist", F.lit(dist)))
         if frontier.isEmpty():

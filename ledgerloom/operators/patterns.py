@@ -225,14 +225,15 @@ def cycle_3_counts(weighted: DataFrame, refs: DataFrame, gap: int = GAP, rows_pe
 def pattern_features(
     edges: DataFrame,
     refs: DataFrame | None = None,
-    evicting: bool = True,
+    evicting: bool = False,
     extended: bool = False,
     gap: int = GAP,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Twelve pattern features per node.
 
-    By default each node is scored at its own last time, after periodic eviction.
+    By default each node is scored at its own last time over all edges; ``evicting`` keeps only
+    those a periodically evicted index would hold.
     Slots whose patterns are declared but not counted in that mode are 0;
     ``extended`` counts them too.
     """

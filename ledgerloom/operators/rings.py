@@ -47,16 +47,12 @@ def largest_rings(rings: DataFrame, k: int = 5) -> DataFrame:
     return rings.orderBy(F.desc("num_members"), "ring_id").limit(k)
 
 
-def ring_neighbourhood(members: DataFrame, edges: DataFrame, limit: int = 30) -> DataFrame:
-    """Per ring, nodes one edge away from it that are not members; the lowest ids up to ``limit``."""
-    from pyspark.sql import Window as W
-
+def ring_neighbourhood(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per ring, all nodes one edge away from it that are not members."""
     touching = both_ends(edges).select("node", "other").distinct().join(
         members.withColumnRenamed("node_id", "node"), "node"
     ).select("ring_id", F.col("other").alias("node_id")).distinct()
-    outside = touching.join(members, ["ring_id", "node_id"], "left_anti")
-    rank = F.row_number().over(W.partitionBy("ring_id").orderBy("node_id"))
-    return outside.withColumn("_r", rank).filter(F.col("_r") <= limit).drop("_r")
+    return touching.join(members, ["ring_id", "node_id"], "left_anti")
 
 
 def ring_activity(members: DataFrame, numbered: DataFrame, total: int, blocks: int = 20) -> DataFrame:

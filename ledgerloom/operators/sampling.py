@@ -14,8 +14,6 @@ from .hops import hop_distances
 
 # Sample sizes, rates and split shares.
 SEEDS_PER_CLASS = 150
-SEEDS_PER_CLASS_LARGE = 250
-LARGE_GRAPH = 50_000
 MIN_PER_CLASS = 5
 EDGE_CAP = 1_000_000
 NODE_SCORER_EDGE_CAP = 2_000_000
@@ -46,13 +44,11 @@ def cap_edges(edges: DataFrame, cap: int = EDGE_CAP, seed: int = 42) -> DataFram
     return hash_rank(edges, "edge_id", seed, []).filter(F.col("rank") < cap).drop("rank", "total")
 
 
-def balanced_seeds(labels: DataFrame, per_class: int | None = None, seed: int = 42) -> DataFrame:
-    """Up to ``per_class`` nodes of each class; none if a class has fewer than five."""
+def balanced_seeds(labels: DataFrame, per_class: int, seed: int = 42) -> DataFrame:
+    """Up to ``per_class`` labelled nodes of each class. A class of fewer than five cannot be learned from: an error."""
     counts = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
-    if per_class is None:
-        per_class = SEEDS_PER_CLASS_LARGE if sum(counts.values()) > LARGE_GRAPH else SEEDS_PER_CLASS
     if min(counts.get(0, 0), counts.get(1, 0), per_class) < MIN_PER_CLASS:
-        return labels.filter(F.lit(False))
+        raise ValueError(f"each class needs {MIN_PER_CLASS} nodes; there are {counts}")
     parts = [lowest_hash(labels.filter(F.col("label") == c), per_class, seed, ["node_id"]) for c in (0, 1)]
     return parts[0].unionByName(parts[1])
 

@@ -39,11 +39,16 @@ def _pattern_sql(held: str) -> str:
     LEFT JOIN {_IN} i USING (node) LEFT JOIN {_BURST} b USING (node)"""
 
 
-@query("pattern_features", views="edges refs", sql=_pattern_sql(_HELD))
+@query("pattern_features", views="edges refs", sql=_pattern_sql(_ALL))
 def pattern_features(spark: SparkSession, d: str) -> DataFrame:
     return patterns.pattern_features(V.edges(spark, d))
 
 
+@query("pattern_features_evicted", views="edges refs", sql=_pattern_sql(_HELD))
+def pattern_features_evicted(spark: SparkSession, d: str) -> DataFrame:
+    return patterns.pattern_features(V.edges(spark, d), evicting=True)
+
+
 @query("pattern_features_unevicted", views="edges refs", sql=_pattern_sql(_ALL))
 def pattern_features_unevicted(spark, d):
     return patterns.pattern_features(V.edges(spark, d), evicting=False)
@@ -341,9 +346,8 @@ def holdout(spark, d):
 
 
 @query("snapshots", views="sub_edges", sql="""
-    SELECT seed, edge_id, CAST(pos // greatest(n // 4, 1) AS BIGINT) AS snapshot FROM (
-        SELECT seed, edge_id, row_number() OVER (PARTITION BY seed ORDER BY t, edge_id) - 1 AS pos, count(*) OVER (PARTITION BY seed) AS n FROM sub_edges)
-    WHERE pos // greatest(n // 4, 1) < 4""")
+    SELECT seed, edge_id, CAST(least(pos // greatest(n // 4, 1), 3) AS BIGINT) AS snapshot FROM (
+        SELECT seed, edge_id, row_number() OVER (PARTITION BY seed ORDER BY t, edge_id) - 1 AS pos, count(*) OVER (PARTITION BY seed) AS n FROM sub_edges)""")
 def snapshots(spark, d):
     return sequence.snapshots(_subgraphs(spark, d)[1]).select("seed", "edge_id", "snapshot")
 
@@ -474,8 +478,7 @@ def largest_rings(spark, d):
 @query("ring_neighbourhood", views="ring_members flows", sql="""
     , und AS (SELECT src AS a, dst AS b FROM flows UNION SELECT dst, src FROM flows),
     near AS (SELECT DISTINCT m.ring_id, u.b AS node_id FROM ring_members m JOIN und u ON u.a = m.node_id)
-    SELECT ring_id, node_id FROM (SELECT n.*, row_number() OVER (PARTITION BY n.ring_id ORDER BY n.node_id) AS rn FROM near n
-        LEFT JOIN ring_members x ON x.ring_id = n.ring_id AND x.node_id = n.node_id WHERE x.node_id IS NULL) WHERE rn <= 30""")
+    SELECT n.ring_id, n.node_id FROM near n LEFT JOIN ring_members x ON x.ring_id = n.ring_id AND x.node_id = n.node_id WHERE x.node_id IS NULL""")
 def ring_neighbourhood(spark, d):
     return rings.ring_neighbourhood(_rings(spark, d)[0], V.flows(spark, d))
 
@@ -606,7 +609,7 @@ def pagerank_rounds(spark, d):
 
 @query("balanced_seeds")
 def balanced_seeds(spark, d):
-    return sampling.balanced_seeds(V.flow_labels(spark, d))
+    return sampling.balanced_seeds(V.flow_labels(spark, d), sampling.SEEDS_PER_CLASS)
 
 
 @query("capped_edges", views="edges", sql="SELECT least(count(*), 700) AS n, least(count(DISTINCT edge_id), 700) AS ids FROM edges")

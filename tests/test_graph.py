@@ -180,7 +180,8 @@ def test_samples_are_stable(spark):
     assert {r["label"]: r["count"] for r in a.groupBy("label").count().collect()} == {0: 20, 1: 20}
     ids = lambda df: sorted(r.node_id for r in df.collect())
     assert ids(a) == ids(sampling.balanced_seeds(marked.repartition(7), 20))
-    assert sampling.balanced_seeds(marked.filter("label = 0 OR node_id < 30"), 20).count() == 0
+    with pytest.raises(ValueError):
+        sampling.balanced_seeds(marked.filter("label = 0 OR node_id < 30"), 20)
     split = sampling.split_70_15_15(marked, "node_id", stratify="label").groupBy("label", "part").count().collect()
     train, upto_val = {0: int(0.7 * 360), 1: int(0.7 * 40)}, {0: int(0.85 * 360), 1: int(0.85 * 40)}
     want = {}
