@@ -296,7 +296,11 @@ def laid_out(texts: list[str], rng) -> tuple[str, list[float]]:
 
 
 def fit(pages: DataFrame, bound: int = PAGES, made: int = LAID_OUT) -> Labeller:
-    rows = pages.filter("html IS NOT NULL").select("html").orderBy(F.xxhash64("html"), "html").limit(bound).collect()
+    # Tasks send hashes first, so that no more than the chosen pages reach the driver.
+    known = pages.filter("html IS NOT NULL").select("html", F.xxhash64("html").alias("_h"))
+    last = known.select("_h").distinct().orderBy("_h").limit(bound).agg(F.max("_h")).first()[0]
+    rows = known.filter(F.col("_h") <= F.lit(last)).select("html").distinct().collect() if last is not None else []
+    rows.sort(key=lambda r: r.html)
     xs, ys, texts = [], [], []
     for r in rows:
         page = blocks(r.html)
