@@ -44,6 +44,26 @@ def _bigrams(words) -> tuple[np.ndarray, np.ndarray]:
     return before, mix64(before * np.uint64(3) + words.hashes)
 
 
+def _slices(texts: list[str]):
+    for _, _, part, inner in row_slices(*text_bytes(pa.array(texts, pa.large_string()))):
+        yield part, inner
+
+
+def _sequences(texts: list[str]) -> list[np.ndarray]:
+    """Word, previous word, pair and the word before the pair, for all words of some texts."""
+    parts = []
+    for data, bounds in _slices(texts):
+        words = word_hashes(data, bounds, ALNUM, True)
+        before, both = _bigrams(words)
+        older = np.empty_like(before)
+        if len(before):
+            older[1:] = before[:-1]
+            starts = words.first[:-1]
+            older[starts[starts < len(before)]] = _START
+        parts.append((words.hashes, before, both, older))
+    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.uint64)] * 4
+
+
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.searchsorted(table, keys)
     at[at == len(table)] = 0
@@ -59,20 +79,13 @@ class KneserNey:
 
         counts = []
         for texts in (toxic, ordinary):
-            data, bounds = text_bytes(pa.array(texts, pa.string()))
-            words = word_hashes(data, bounds, ALNUM, True)
-            before, both = _bigrams(words)
+            hashes, before, both, older = _sequences(texts)
             # Every order counts different continuations: a pair once per word before it, a word
             # once per pair. A passage that is copied many times counts like one.
-            older = np.empty_like(before)
-            if len(before):
-                older[1:] = before[:-1]
-                starts = words.first[:-1]
-                older[starts[starts < len(before)]] = _START
             once = np.unique(mix64(older * np.uint64(5) + both), return_index=True)[1]
             once.sort()
             single = np.unique(both, return_index=True)[1]
-            counts.append((words.hashes[once], before[once], both[once], words.hashes[single]))
+            counts.append((hashes[once], before[once], both[once], hashes[single]))
         # Shared backoff: of how many different words is this one a follower, in either class.
         pairs, at = np.unique(np.concatenate([c[2] for c in counts]), return_index=True)
         followers = np.concatenate([c[0] for c in counts])[at]
@@ -147,7 +160,7 @@ class Scorer:
         count_rows = [r for i, r in enumerate(rows) if i % 4]
         fit_rows = [r for i, r in enumerate(rows) if i % 4 == 0] or rows
         self.model = KneserNey([t for t, y in count_rows if y], [t for t, y in count_rows if not y])
-        x = self._features(self.model.differences(*text_bytes(pa.array([t for t, _ in fit_rows], pa.string()))))
+        x = self._features(np.concatenate([self.model.differences(*part) for part in _slices([t for t, _ in fit_rows])]))
         y = np.array([y for _, y in fit_rows], np.float64)
         self.weights = np.zeros(x.shape[1])
         for _ in range(50):  # Newton steps of a ridge logistic regression
