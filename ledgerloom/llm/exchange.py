@@ -34,6 +34,7 @@ class Layout:
     def __init__(self, documents: DataFrame):
         total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         size = min(64 << 20, max(CHUNK_BYTES, math.isqrt(total) * 64))
+        self.total = total
         self.chunks = max(1, math.ceil(total / size))
         self.bits = max(5, math.ceil(math.log2(max(1, total / RANGE_BYTES))))
 
