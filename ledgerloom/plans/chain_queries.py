@@ -62,7 +62,7 @@ def parse_transactions(spark, d):
 
 
 @query("parse_receipts", views="lines", sql=f"""
-    SELECT {word('k * 8 + n')} AS transaction_hash, n AS transaction_index, {word('k + 1000000')} AS block_hash,
+    SELECT {word('k * 1024 + n')} AS transaction_hash, n AS transaction_index, {word('k + 1000000')} AS block_hash,
            k AS block_number, qty * 2000 AS cumulative_gas_used, qty * 1000 AS gas_used,
            CASE WHEN flag = 'A' THEN {addr('part + 2000000')} END AS contract_address,
            CAST(CASE WHEN flag = 'R' THEN 0 ELSE 1 END AS BIGINT) AS status, n * 1000000000 AS effective_gas_price,
@@ -615,10 +615,12 @@ def upsert_latest(spark, d):
 
 @query("block_partitions", views="blocks", sql="""
     SELECT number, lpad(CAST(number // 1000 * 1000 AS VARCHAR), 8, '0') AS start_block,
-           lpad(CAST(least(number // 1000 * 1000 + 999, 1234) AS VARCHAR), 8, '0') AS end_block
-    FROM blocks WHERE number BETWEEN 0 AND 1234""")
+           lpad(CAST(least(number // 1000 * 1000 + 999, (SELECT max(number) FROM blocks)) AS VARCHAR), 8, '0') AS end_block
+    FROM blocks""")
 def block_partitions(spark, d):
-    return files.block_partitions(V.blocks(spark, d), "number", 0, 1234, 1000).select("number", "start_block", "end_block")
+    blocks = V.blocks(spark, d)
+    last = blocks.agg(F.max("number")).first()[0]
+    return files.block_partitions(blocks, "number", 0, last, 1000).select("number", "start_block", "end_block")
 
 
 @query("date_partition", views="blocks", sql="""

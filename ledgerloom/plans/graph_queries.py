@@ -202,12 +202,12 @@ _GAPS = """, gaps AS (SELECT node, t, t - lag(t) OVER (PARTITION BY node ORDER B
            s.span AS activity_span FROM (
         SELECT node, count(*) FILTER (o = 0) AS in_degree, count(*) FILTER (o = 1) AS out_degree, count(*) AS tx_count,
                round(coalesce(sum(value) FILTER (o = 1), 0), 2) AS sent, round(coalesce(sum(value) FILTER (o = 0), 0), 2) AS received,
-               round(coalesce(avg(value) FILTER (o = 1), 0), 4) AS avg_sent, round(coalesce(avg(value) FILTER (o = 0), 0), 4) AS avg_received,
+               round(coalesce(avg(value) FILTER (o = 1), 0), 6) AS avg_sent, round(coalesce(avg(value) FILTER (o = 0), 0), 6) AS avg_received,
                CAST(max(t) - min(t) AS DOUBLE) AS span FROM sides GROUP BY node) s
     JOIN (SELECT node, avg(g) AS m, stddev_pop(g) AS s FROM gaps GROUP BY node) g USING (node)""")
 def address_features(spark, d):
     f = features.address_features(V.circles(spark, d), with_rank=False)
-    digits = {"total_value_sent": 2, "total_value_received": 2, "avg_value_sent": 4, "avg_value_received": 4,
+    digits = {"total_value_sent": 2, "total_value_received": 2, "avg_value_sent": 6, "avg_value_received": 6,
               "inter_tx_time_mean": 4, "inter_tx_time_std": 1}
     return f.withColumns({c: F.round(c, n) for c, n in digits.items()}).drop("pagerank")
 
@@ -497,7 +497,7 @@ def ring_activity(spark, d):
 # ---------------------------------------------------------------- subgraphs
 
 def _seeds(spark, d):
-    return V.circles(spark, d).filter("period = '1-URGENT'").select(F.col("src").alias("node_id")).distinct()
+    return V.circles(spark, d).select(F.col("src").alias("node_id")).distinct()
 
 
 def _subgraphs(spark, d):
@@ -580,7 +580,8 @@ def subgraph_pool_features(spark, d):
 
 # ---------------------------------------------------------------- PageRank
 
-_ROUNDS = 8
+# Rounds of the SQL twin; far past the point where both stop moving.
+_ROUNDS = 120
 
 
 def _pagerank_sql() -> str:
@@ -600,8 +601,8 @@ def _pagerank_sql() -> str:
 
 @query("pagerank", views="circles", sql=_pagerank_sql())
 def pagerank_rounds(spark, d):
-    """Eight rounds without early stop, so that every engine does the same sums."""
-    ranks = pagerank.pagerank(V.circles(spark, d), max_rounds=_ROUNDS, tolerance=0.0)
+    """Rounds until the ranks stand still."""
+    ranks = pagerank.pagerank(V.circles(spark, d), max_rounds=4 * _ROUNDS, tolerance=1e-15)
     return ranks.select("node_id", F.round(F.col("pagerank") * 1e6, 4).alias("micro_rank"))
 
 

@@ -36,7 +36,7 @@ _CODE = "'0x6060604052' || " + " || ".join(
 # name -> (views it needs, text)
 VIEWS: dict[str, tuple[list[str], str]] = {
     "edges": ([], f"""
-        SELECT event_id AS edge_id, user_id % 50 AS src, (user_id * 7 + event_id * 13) % 50 AS dst,
+        SELECT event_id AS edge_id, user_id AS src, user_id // 50 * 50 + (user_id * 7 + event_id * 13) % 50 AS dst,
                {epoch('ts')} AS t, value, event_type AS edge_type FROM events"""),
     "flows": ([], f"""
         SELECT o_orderkey AS edge_id, o_custkey AS src, (o_custkey * 7 + o_orderkey * 13) // 11 AS dst,
@@ -46,7 +46,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         SELECT o_orderkey AS edge_id, o_custkey AS src,
                o_custkey // 8 * 8 + (o_custkey * 7 + o_orderkey * 13) % 8 AS dst,
                {epoch('o_orderdate')} AS t, o_totalprice AS value, o_orderpriority AS period
-        FROM orders WHERE o_totalprice > 400000"""),
+        FROM orders"""),
     "flow_labels": (["flows"], """
         SELECT node_id, max(label) AS label FROM (
             SELECT src AS node_id, CAST(value > 450000 AS INTEGER) AS label FROM flows
@@ -90,9 +90,9 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         JOIN (SELECT a.component, count(*) AS edges FROM (SELECT DISTINCT src, dst FROM circles) c
               JOIN strong a ON a.node_id = c.src JOIN strong b ON b.node_id = c.dst
               WHERE a.component = b.component GROUP BY a.component) e USING (component)"""),
-    # Two hops against the edge direction from every tenth-priority seed.
+    # Two hops against the edge direction from every payer.
     "seeds": (["circles"], """
-        SELECT DISTINCT src AS node_id FROM circles WHERE period = '1-URGENT'"""),
+        SELECT DISTINCT src AS node_id FROM circles"""),
     "hood": (["seeds", "circles"], """
         SELECT node_id AS seed, node_id FROM seeds
         UNION SELECT s.node_id, c.src FROM seeds s JOIN circles c ON c.dst = s.node_id
@@ -123,22 +123,21 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                 WHERE b.dist < 9)
             SELECT * FROM bfs) GROUP BY seed, anchor, node_id"""),
     "lines": ([], f"""
-        SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS n, l_partkey AS part, l_suppkey AS supp,
-               {cents('l_extendedprice')} AS cents, CAST(l_quantity AS BIGINT) AS qty, l_returnflag AS flag
-        FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_LINE_ORDER}) AS rn
-              FROM lineitem) WHERE rn = 1"""),
+        SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {_LINE_ORDER}) AS n,
+               l_partkey AS part, l_suppkey AS supp, {cents('l_extendedprice')} AS cents, CAST(l_quantity AS BIGINT) AS qty,
+               l_returnflag AS flag FROM lineitem"""),
     "blocks": ([], f"""
         SELECT o_orderkey AS number, {word('o_orderkey + 1000000')} AS hash,
                {word('o_orderkey + 999999')} AS parent_hash, {addr('o_custkey')} AS miner,
                {epoch('o_orderdate')} AS timestamp, {cents('o_totalprice')} AS gas_used,
                o_orderstatus AS status FROM orders"""),
     "transactions": (["lines"], f"""
-        SELECT {word('k * 8 + n')} AS hash, n AS nonce, {word('k + 1000000')} AS block_hash, k AS block_number,
+        SELECT {word('k * 1024 + n')} AS hash, n AS nonce, {word('k + 1000000')} AS block_hash, k AS block_number,
                n AS transaction_index, {addr('supp')} AS from_address, {addr('part')} AS to_address,
                cents * 1000000000 AS value, qty * 1000 + 21000 AS gas, n * 1000000000 AS gas_price, flag
         FROM lines"""),
     "logs": (["lines"], f"""
-        SELECT n * 2 AS log_index, {word('k * 8 + n')} AS transaction_hash, n AS transaction_index,
+        SELECT n * 2 AS log_index, {word('k * 1024 + n')} AS transaction_hash, n AS transaction_index,
                {word('k + 1000000')} AS block_hash, k AS block_number,
                upper({addr('supp + 1000000')}) AS address,
                CASE WHEN flag = 'R' THEN '0x' ELSE {word('cents')} END AS data,
@@ -146,7 +145,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                     ELSE ['{TRANSFER_TOPIC}', {word('supp')}, {word('part')}] END AS topics
         FROM lines
         UNION ALL
-        SELECT n * 2 + 1, {word('k * 8 + n')}, n, {word('k + 1000000')}, k, upper({addr('supp + 1000000')}),
+        SELECT n * 2 + 1, {word('k * 1024 + n')}, n, {word('k + 1000000')}, k, upper({addr('supp + 1000000')}),
                CASE WHEN flag = 'R' THEN '0x' WHEN flag = 'N' THEN {word('cents')} || substr({word('cents')}, 3)
                     ELSE {word('cents')} END,
                CASE WHEN flag = 'R' THEN [] WHEN flag = 'N' THEN ['{TRANSFER_TOPIC}']
@@ -154,7 +153,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         FROM lines"""),
     "transfers": (["lines"], f"""
         SELECT {addr('supp + 1000000')} AS token_address, {addr('supp')} AS from_address, {addr('part')} AS to_address,
-               cents AS value, {word('k * 8 + n')} AS transaction_hash, n * 2 AS log_index, k AS block_number
+               cents AS value, {word('k * 1024 + n')} AS transaction_hash, n * 2 AS log_index, k AS block_number
         FROM lines"""),
     "calls": ([], f"""
         SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {_LINE_ORDER}) - 1 AS depth,

@@ -36,12 +36,12 @@ def word(col: Column) -> Column:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense multigraph on 50 nodes with many repeated pairs."""
+    """Dense multigraph in groups of 50 users with many repeated pairs; groups grow with the users."""
     user, event = F.col("user_id"), F.col("event_id")
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("edge_id"),
-        (user % 50).alias("src"),
-        ((user * 7 + event * 13) % 50).alias("dst"),
+        user.alias("src"),
+        (F.floor(user / 50) * 50 + (user * 7 + event * 13) % 50).alias("dst"),
         seconds("ts").alias("t"),
         F.col("value"),
         F.col("event_type").alias("edge_type"),
@@ -64,9 +64,9 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def circles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Large payments inside groups of eight customers: many small directed cycles."""
+    """Payments inside groups of eight customers: many small directed cycles."""
     cust, order = F.col("o_custkey"), F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").filter("o_totalprice > 400000").select(
+    return table(spark, sf_dir, "orders").select(
         order.alias("edge_id"),
         cust.alias("src"),
         (F.floor(cust / 8) * 8 + (cust * 7 + order * 13) % 8).alias("dst"),
@@ -84,18 +84,13 @@ def flow_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (order, line number): the smallest of the repeated ones."""
-    payload = F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_shipdate")
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(payload).alias("m"))
-    return rows.select(
-        F.col("l_orderkey").alias("k"),
-        F.col("l_linenumber").cast("bigint").alias("n"),
-        F.col("m.l_partkey").alias("part"),
-        F.col("m.l_suppkey").alias("supp"),
-        cents("m.l_extendedprice").alias("cents"),
-        F.col("m.l_quantity").cast("bigint").alias("qty"),
-        F.col("m.l_returnflag").alias("flag"),
-    )
+    """All rows of lineitem, numbered from 1 inside their order."""
+    return trace_rows(spark, sf_dir).select("k", (F.col("depth") + 1).cast("bigint").alias("n"), "part", "supp", "cents", "qty", "flag")
+
+
+def line_id(k: Column, n: Column) -> Column:
+    """Number of a line over all orders, for orders of fewer than 1024 lines."""
+    return k * 1024 + n
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +109,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, n = F.col("k"), F.col("n")
     return lines(spark, sf_dir).select(
-        word(k * 8 + n).alias("hash"),
+        word(line_id(k, n)).alias("hash"),
         n.alias("nonce"),
         word(k + 1000000).alias("block_hash"),
         k.alias("block_number"),
@@ -156,7 +151,7 @@ def raw_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
             "blobVersionedHashes": F.when(F.col("flag") == "R", F.lit('["0x01","0x02"]')),
         }).alias("body"),
     )
-    # A block holds at most seven lines.
+    # A block holds the lines of one order.
     listed = tx.groupBy("number").agg(F.array_join(F.collect_list("body"), ",").alias("txs"))
     # The listed text compresses so well that its shuffle size would invite a broadcast.
     b = blocks(spark, sf_dir).join(listed.hint("merge"), "number", "left")
@@ -189,7 +184,7 @@ def raw_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def log(index: Column, topics: Column, data: Column) -> Column:
         return _object(
-            logIndex=_hex(index), transactionHash=_quoted(word(k * 8 + n)), transactionIndex=_hex(n),
+            logIndex=_hex(index), transactionHash=_quoted(word(line_id(k, n))), transactionIndex=_hex(n),
             blockHash=_quoted(word(k + 1000000)), blockNumber=_hex(k),
             address=_quoted(F.upper(address(F.col("supp") + 1000000))), data=_quoted(data),
             topics=F.concat(F.lit("["), topics, F.lit("]")),
@@ -204,7 +199,7 @@ def raw_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(log(n * 2 + 1, join(F.lit(OTHER_TOPIC), sender, receiver), amount))
     )
     return lines(spark, sf_dir).select(_object(**{
-        "transactionHash": _quoted(word(k * 8 + n)), "transactionIndex": _hex(n),
+        "transactionHash": _quoted(word(line_id(k, n))), "transactionIndex": _hex(n),
         "blockHash": _quoted(word(k + 1000000)), "blockNumber": _hex(k),
         "cumulativeGasUsed": _hex(F.col("qty") * 2000), "gasUsed": _hex(F.col("qty") * 1000),
         "contractAddress": F.when(flag == "A", _quoted(F.upper(address(F.col("part") + 2000000)))),
