@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-MAX_NODES = 300
 ANCHORS = 16
 
 
@@ -30,7 +29,7 @@ def k_hop_nodes(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     return reached
 
 
-def limit_nodes(nodes: DataFrame, limit: int = MAX_NODES) -> DataFrame:
+def limit_nodes(nodes: DataFrame, limit: int) -> DataFrame:
     """The lowest ``limit`` node ids per seed."""
     rank = F.row_number().over(W.partitionBy("seed").orderBy("node_id"))
     return nodes.withColumn("_r", rank).filter(F.col("_r") <= limit).drop("_r")
@@ -43,9 +42,13 @@ def subgraph_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ).select("seed", *edges.columns)
 
 
-def subgraphs(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int = MAX_NODES) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of each seed's neighbourhood; tiny ones (<3 nodes or <2 edges) are dropped."""
-    nodes = cut(limit_nodes(k_hop_nodes(edges, seeds, hops), limit))
+def subgraphs(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of each seed's neighbourhood; tiny ones (<3 nodes or <2 edges) are dropped.
+
+    The neighbourhood is whole unless the caller asks for its ``limit`` lowest node ids.
+    """
+    near = k_hop_nodes(edges, seeds, hops)
+    nodes = cut(near if limit is None else limit_nodes(near, limit))
     inner = cut(subgraph_edges(nodes, edges))
     enough_edges = inner.groupBy("seed").agg(F.count("*").alias("_n")).filter("_n >= 2").select("seed")
     enough_nodes = nodes.groupBy("seed").agg(F.count("*").alias("_n")).filter("_n >= 3").select("seed")

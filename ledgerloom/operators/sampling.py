@@ -15,8 +15,6 @@ from .hops import hop_distances
 # Sample sizes, rates and split shares.
 SEEDS_PER_CLASS = 150
 MIN_PER_CLASS = 5
-EDGE_CAP = 1_000_000
-NODE_SCORER_EDGE_CAP = 2_000_000
 TRAIN_SHARE, VAL_SHARE, TRAIN_AND_VAL_SHARE = 0.70, 0.15, 0.85
 MASK_RATE = 0.2
 DROP_RATE = 0.1
@@ -36,8 +34,8 @@ def lowest_hash(df: DataFrame, n: int, seed: int, key: list[str]) -> DataFrame:
     return df.withColumn("_h", F.xxhash64(F.lit(seed), *key)).orderBy("_h", *key).limit(n).drop("_h")
 
 
-def cap_edges(edges: DataFrame, cap: int = EDGE_CAP, seed: int = 42) -> DataFrame:
-    """At most ``cap`` edges, the lowest in hash order.
+def cap_edges(edges: DataFrame, cap: int, seed: int = 42) -> DataFrame:
+    """A sample of ``cap`` edges for a caller who asks for one: the lowest in hash order.
 
     The cap is large, so ranks come from bucketed running sums instead of a top-k.
     """
