@@ -219,3 +219,24 @@ def test_pipeline_stages(spark, folder):
     assert {10, 11, 12, 13}.intersection(kept) == {10}
     clean = corpus_pipeline.decontamination_stage(spark, docs, folder).collect()
     assert not any("Bench words" in (r.text or "") for r in clean)
+
+
+def test_lm_learns_and_averages_in_levels(spark, monkeypatch):
+    """Held-out text scores above the base; how tasks are grouped for averaging hardly matters."""
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(40)]
+    texts = []
+    for _ in range(300):
+        at, own = rng.randrange(40), []
+        for _ in range(60):
+            own.append(words[at])
+            at = (at + rng.choice((1, 1, 1, 7))) % 40
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6).cache()
+    train = (lm.F.col("doc_id") % 5) != 1
+    one = {r.doc_id: (r._base, r._score) for r in lm.scored(docs, train).collect()}
+    monkeypatch.setattr(lm, "SPLIT_BYTES", 1)
+    many = {r.doc_id: r._score for r in lm.scored(docs, train).collect()}
+    held = [i for i in one if i % 5 == 1]
+    assert sum(one[i][1] for i in held) > 0.9 * sum(one[i][0] for i in held)  # log10 of probabilities: less negative is better
+    assert all(abs(many[i] - one[i][1]) < 0.02 * abs(one[i][1]) for i in one)
