@@ -110,8 +110,8 @@ class Words:
         self.starts, self.ends, self.hashes, self.first = starts, ends, hashes, first
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, keep: np.ndarray = SPACE_SPLIT, lower: bool = False) -> Words:
-    """Maximal runs of ``keep`` bytes inside each row, with a 64-bit hash of their bytes."""
+def word_hashes(data: np.ndarray, bounds: np.ndarray, keep: np.ndarray = SPACE_SPLIT, lower: bool = False, stem: int | None = None) -> Words:
+    """Maximal runs of ``keep`` bytes inside each row, with a 64-bit hash of their bytes (the first ``stem`` ones, if given)."""
     n = len(data)
     inside = keep[data]
     starts, ends = inside.copy(), inside.copy()
@@ -125,7 +125,12 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, keep: np.ndarray = SPACE_S
     table = lower_table(lower)
     table[~keep] = 0
     if len(starts):
-        sums = np.add.reduceat(table[data] * _powers(_BASE, n), starts)
+        values = table[data]
+        if stem is not None:
+            first = np.zeros(n, np.int64)
+            first[starts] = starts
+            values[np.arange(n) - np.maximum.accumulate(first) >= stem] = 0
+        sums = np.add.reduceat(values * _powers(_BASE, n), starts)
         hashes = mix64(sums * _powers(_INVERSE, n)[starts])
     else:
         hashes = np.zeros(0, np.uint64)

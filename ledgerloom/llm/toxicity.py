@@ -2,14 +2,16 @@
 
 Two bigram models, one of toxic and one of ordinary texts, share the lowest order: the
 number of different words a word follows, counted over both classes, and a uniform part for
-words never seen. Pairs are counted once per word before them and words once per pair. A class's word probability takes an absolute discount off its counts and
+words never seen. Pairs are counted once per word before them and words once per pair. The
+same is done over stems, the first bytes of every word, so an inflected or compounded form
+that no labelled text has still shares the counts of its relatives. A class's word probability takes an absolute discount off its counts and
 gives what it saves to that shared distribution; its bigram probability does the same with
 the word probability. An expression that is rare in both classes so gets nearly the same
 probability from both.
 
 A text is compared in overlapping windows of ``WINDOW`` words: the difference of the two
 log-likelihoods divided by the words of the window. The largest difference and the one of
-the whole text are mapped to a probability by a logistic unit, fitted on a part of the
+the whole text, by words and by stems, are mapped to a probability by a logistic unit, fitted on a part of the
 sample that the counts leave out. At most ``PER_CLASS`` toxic and ``OTHERS``
 times as many ordinary labelled texts are used.
 
@@ -30,6 +32,7 @@ WINDOW = 4
 PER_CLASS, OTHERS = 1500, 3  # bounds of the sample: toxic texts, and ordinary ones per toxic one
 # Taken off counts of 1, 2, ... and of the last and above: an expression seen a few times only says nothing of its class.
 DISCOUNTS = (0.0, 1.0, 2.0, 3.0, 4.0)
+STEMS = (None, 5)  # bytes of a word that a model reads: whole words, and stems
 FOLDS, FOLD = 5, 0
 _START = np.uint64(0x5851F42D4C957F2D)
 
@@ -49,18 +52,19 @@ def _slices(texts: list[str]):
         yield part, inner
 
 
-def _sequences(texts: list[str]) -> list[np.ndarray]:
-    """Word, previous word, pair and the word before the pair, for all words of some texts."""
+def _sequences(texts: list[str], stem: int | None = None) -> list[np.ndarray]:
+    """Word, previous word, pair and a key of the pair with the word before it, once per key of a slice of texts."""
     parts = []
     for data, bounds in _slices(texts):
-        words = word_hashes(data, bounds, ALNUM, True)
+        words = word_hashes(data, bounds, ALNUM, True, stem)
         before, both = _bigrams(words)
         older = np.empty_like(before)
         if len(before):
             older[1:] = before[:-1]
             starts = words.first[:-1]
             older[starts[starts < len(before)]] = _START
-        parts.append((words.hashes, before, both, older))
+        key, at = np.unique(mix64(older * np.uint64(5) + both), return_index=True)
+        parts.append((words.hashes[at], before[at], both[at], key))
     return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.uint64)] * 4
 
 
@@ -73,17 +77,18 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class KneserNey:
     """Log ratios of the toxic to the ordinary model, as sorted tables."""
 
-    def __init__(self, toxic: list[str], ordinary: list[str], discounts: tuple[float, ...] = DISCOUNTS):
+    def __init__(self, toxic: list[str], ordinary: list[str], stem: int | None = None, discounts: tuple[float, ...] = DISCOUNTS):
+        self.stem = stem
+
         def off(c):
             return np.array(discounts)[np.minimum(c, len(discounts) - 1).astype(np.int64)]
 
         counts = []
         for texts in (toxic, ordinary):
-            hashes, before, both, older = _sequences(texts)
+            hashes, before, both, key = _sequences(texts, stem)
             # Every order counts different continuations: a pair once per word before it, a word
             # once per pair. A passage that is copied many times counts like one.
-            once = np.unique(mix64(older * np.uint64(5) + both), return_index=True)[1]
-            once.sort()
+            once = np.unique(key, return_index=True)[1]
             single = np.unique(both, return_index=True)[1]
             counts.append((hashes[once], before[once], both[once], hashes[single]))
         # Shared backoff: of how many different words is this one a follower, in either class.
@@ -137,7 +142,7 @@ class KneserNey:
 
     def differences(self, data: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> np.ndarray:
         """Per text: largest difference of a window, and difference of the whole, each per word."""
-        words = word_hashes(data, bounds, ALNUM, True)
+        words = word_hashes(data, bounds, ALNUM, True, self.stem)
         ratios = self.ratios(words).astype(np.float64)
         n = np.diff(words.first)
         sums = np.concatenate([[0], np.cumsum(ratios)])
@@ -159,8 +164,9 @@ class Scorer:
     def __init__(self, rows: list[tuple[str, int]]):
         count_rows = [r for i, r in enumerate(rows) if i % 4]
         fit_rows = [r for i, r in enumerate(rows) if i % 4 == 0] or rows
-        self.model = KneserNey([t for t, y in count_rows if y], [t for t, y in count_rows if not y])
-        x = self._features(np.concatenate([self.model.differences(*part) for part in _slices([t for t, _ in fit_rows])]))
+        toxic, ordinary = [t for t, y in count_rows if y], [t for t, y in count_rows if not y]
+        self.models = [KneserNey(toxic, ordinary, stem) for stem in STEMS]
+        x = np.concatenate([self._features(*part) for part in _slices([t for t, _ in fit_rows])])
         y = np.array([y for _, y in fit_rows], np.float64)
         self.weights = np.zeros(x.shape[1])
         for _ in range(50):  # Newton steps of a ridge logistic regression
@@ -168,12 +174,11 @@ class Scorer:
             h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(x.shape[1])
             self.weights -= np.linalg.solve(h, x.T @ (p - y) + 0.05 * self.weights)
 
-    @staticmethod
-    def _features(d: np.ndarray) -> np.ndarray:
-        return np.column_stack([d, np.ones(len(d))])
+    def _features(self, data, bounds) -> np.ndarray:
+        return np.column_stack([*[m.differences(data, bounds) for m in self.models], np.ones(len(bounds) - 1)])
 
     def score(self, data, bounds) -> np.ndarray:
-        return 1 / (1 + np.exp(-self._features(self.model.differences(data, bounds)) @ self.weights))
+        return 1 / (1 + np.exp(-self._features(data, bounds) @ self.weights))
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: int = FOLDS, fold: int = FOLD) -> Scorer | None:
