@@ -33,6 +33,7 @@ PER_CLASS, OTHERS = 1500, 3  # bounds of the sample: toxic texts, and ordinary o
 # Taken off counts of 1, 2, ... and of the last and above: an expression seen a few times only says nothing of its class.
 DISCOUNTS = (0.0, 1.0, 2.0, 3.0, 4.0)
 STEMS = (None, 5)  # bytes of a word that a model reads: whole words, and stems
+FIT_SLICE = 1 << 19  # bytes of the sample counted at a time, which bounds the driver's memory
 FOLDS, FOLD = 5, 0
 _START = np.uint64(0x5851F42D4C957F2D)
 
@@ -48,12 +49,12 @@ def _bigrams(words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _slices(texts: list[str]):
-    for _, _, part, inner in row_slices(*text_bytes(pa.array(texts, pa.large_string()))):
+    for _, _, part, inner in row_slices(*text_bytes(pa.array(texts, pa.large_string())), FIT_SLICE):
         yield part, inner
 
 
-def _sequences(texts: list[str], stem: int | None = None) -> list[np.ndarray]:
-    """Word, previous word, pair and a key of the pair with the word before it, once per key of a slice of texts."""
+def _pairs(texts: list[str], stem: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of some texts, the number of different words before each, its last and its first word."""
     parts = []
     for data, bounds in _slices(texts):
         words = word_hashes(data, bounds, ALNUM, True, stem)
@@ -64,8 +65,21 @@ def _sequences(texts: list[str], stem: int | None = None) -> list[np.ndarray]:
             starts = words.first[:-1]
             older[starts[starts < len(before)]] = _START
         key, at = np.unique(mix64(older * np.uint64(5) + both), return_index=True)
-        parts.append((words.hashes[at], before[at], both[at], key))
-    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.uint64)] * 4
+        parts.append([key, both[at], words.hashes[at], before[at]])
+    if not parts:
+        return tuple(np.zeros(0, np.uint64) for _ in range(4))
+
+    def column(i):
+        # The slices' part of a column goes as soon as it is put together.
+        whole = np.concatenate([p[i] for p in parts])
+        for p in parts:
+            p[i] = None
+        return whole
+
+    once = np.unique(column(0), return_index=True)[1]
+    pairs, at, count = np.unique(column(1)[once], return_index=True, return_counts=True)
+    once = once[at]
+    return pairs, count, column(2)[once], column(3)[once]
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,41 +97,31 @@ class KneserNey:
         def off(c):
             return np.array(discounts)[np.minimum(c, len(discounts) - 1).astype(np.int64)]
 
-        counts = []
-        for texts in (toxic, ordinary):
-            hashes, before, both, key = _sequences(texts, stem)
-            # Every order counts different continuations: a pair once per word before it, a word
-            # once per pair. A passage that is copied many times counts like one.
-            once = np.unique(key, return_index=True)[1]
-            single = np.unique(both, return_index=True)[1]
-            counts.append((hashes[once], before[once], both[once], hashes[single]))
+        # Every order counts different continuations: a pair once per word before it, a word
+        # once per pair. A passage that is copied many times counts like one.
+        counts = [_pairs(texts, stem) for texts in (toxic, ordinary)]
         # Shared backoff: of how many different words is this one a follower, in either class.
-        pairs, at = np.unique(np.concatenate([c[2] for c in counts]), return_index=True)
-        followers = np.concatenate([c[0] for c in counts])[at]
-        self.words, shared = np.unique(followers, return_counts=True)
-        v = len(self.words)
-        shared = np.append(shared - 0.75, 0) / len(pairs) + 0.75 * v / len(pairs) / (v + 1)  # the last one: any unknown word
-        word_p, contexts, backoff, pair_p = [], np.unique(np.concatenate([c[1] for c in counts])), [], []
-        self.pairs, self.contexts = pairs, contexts
-        first_word = np.searchsorted(self.words, followers)
-        first_before = np.searchsorted(contexts, np.concatenate([c[1] for c in counts])[at])
-        for _, before, both, hashes in counts:
-            n = max(1, len(hashes))
+        self.pairs, at = np.unique(np.concatenate([c[0] for c in counts]), return_index=True)
+        self.words, last, shared = np.unique(np.concatenate([c[2] for c in counts])[at], return_inverse=True, return_counts=True)
+        self.contexts, first = np.unique(np.concatenate([c[3] for c in counts])[at], return_inverse=True)
+        v, size = len(self.words), max(1, len(self.pairs))
+        shared = np.append(shared - 0.75, 0) / size + 0.75 * max(1, v) / size / (v + 1)  # the last one: any unknown word
+        word_p, backoff, pair_p = [], [], []
+        while counts:
+            own, seen, hashes, _ = counts.pop(0)
+            n = max(1, len(own))
             c = np.append(np.bincount(np.searchsorted(self.words, hashes), minlength=v), 0)
-            p = (c - off(c)) / n + off(c).sum() / n * shared
-            if not len(hashes):
-                p = shared
-            own, inverse = np.unique(both, return_inverse=True)
-            pair_count = np.zeros(len(pairs))
-            pair_count[np.searchsorted(pairs, own)] = np.bincount(inverse, minlength=len(own))
-            context_count = np.bincount(np.searchsorted(contexts, before), minlength=len(contexts))
-            saved = np.bincount(first_before, weights=off(pair_count), minlength=len(contexts))
+            p = (c - off(c)) / n + off(c).sum() / n * shared if len(own) else shared
+            pair_count = np.zeros(len(self.pairs), np.int64)
+            pair_count[np.searchsorted(self.pairs, own)] = seen
+            context_count = np.bincount(first, weights=pair_count, minlength=len(self.contexts))
+            saved = np.bincount(first, weights=off(pair_count), minlength=len(self.contexts))
             with np.errstate(divide="ignore", invalid="ignore"):
                 rest = np.where(context_count > 0, saved / context_count, 1.0)
-                here = np.where(context_count[first_before] > 0, (pair_count - off(pair_count)) / context_count[first_before], 0)
+                here = np.where(context_count[first] > 0, (pair_count - off(pair_count)) / context_count[first], 0)
             word_p.append(np.log(p))
             backoff.append(np.log(rest))
-            pair_p.append(np.log(here + rest[first_before] * p[first_word]))
+            pair_p.append(np.log(here + rest[first] * p[last]))
         self.word_ratio = (word_p[0] - word_p[1]).astype(np.float32)
         self.backoff_ratio = (backoff[0] - backoff[1]).astype(np.float32)
         self.pair_ratio = (pair_p[0] - pair_p[1]).astype(np.float32)
