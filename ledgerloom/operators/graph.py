@@ -8,28 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .skew import ROWS_PER_TASK, dense_index, hot_key_join
+from .skew import ROWS_PER_TASK, dense_index, hot_key_join, ranged
 
 WEI = 1e18
 MGAS = 1e6
 GWEI = 1e9
 
 
-def address_levels(col: str = "address") -> dict[str, Column]:
-    """Buckets of addresses in text order: the first 4, then the first 8 hex digits."""
-    return {"head": F.substring(col, 1, 6), "mid": F.substring(col, 1, 10)}
-
-
 def build_address_index(*tables: DataFrame) -> DataFrame:
     """``(address, node_id, n)``: dense ids in sorted address order.
 
-    ``n`` counts the address's appearances and drives skew handling later. Addresses
-    are hash-like, so prefixes split them evenly; at most 65 536 coarse buckets are
-    summed in one task.
+    ``n`` counts the address's appearances and drives skew handling later. Addresses are
+    numbered inside slices with sampled bounds, so shared prefixes do no harm.
     """
     sides = [t.select(F.col(c).alias("address")) for t in tables for c in ("from_address", "to_address")]
     distinct = reduce(DataFrame.unionByName, sides).groupBy("address").agg(F.count("*").alias("n"))
-    return dense_index(distinct, "node_id", [F.col("address")], address_levels())
+    slices = ranged(distinct, F.col("address"))
+    return dense_index(slices, "node_id", [F.col("address")], {"slice": F.col("_range")}).drop("_range")
 
 
 def map_addresses(df: DataFrame, index: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:

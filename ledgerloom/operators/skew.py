@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # A key with more rows than this is spread over several tasks.
 ROWS_PER_TASK = 2_000_000
 
@@ -91,6 +93,17 @@ def prefix_sums(
     return result.drop(*names, *[f"_in_{n}" for n in sums], *[f"_off_{n}" for n in sums])
 
 
+def ranged(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with ``_range``, the number of an about equal slice of its rows in ``order``.
+
+    The slices' bounds come from a sample, so values that share a prefix or lie far from
+    all others do not meet in one slice; rows with equal values always do. The slices are
+    written to the shared folder, since another sample would give other bounds.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+
+
 def dense_index(
     df: DataFrame,
     name: str,

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.hexnum import hex_to_long
 from ..functions.items import with_item_fields
 from ..operators import contracts, enrich, parse, tracecalc, transfers
+from ..session import cut
 from .jobs import Position, run_available
 
 # Landed responses: what the body is, the block it belongs to, and the response text.
@@ -23,30 +24,41 @@ def enrich_items(landed: DataFrame, wanted: Iterable[str]) -> dict[str, DataFram
     """Enriched item tables of one batch, in canonical column form, keyed by type.
 
     Only the tables that the wanted types need are planned. Every block's responses
-    must be in the batch together, which the lag-aware export guarantees.
+    must be in the batch together, which the lag-aware export guarantees; a row without
+    its block, receipt or parent trace, or with several, raises. Parsed tables are kept in
+    the shared folder, since the checks and the export both read them.
     """
     needed = enrich.tables_needed(wanted)
     of = lambda kind: landed.filter(F.col("kind") == kind).select("body")
-    blocks = parse.parse_blocks(of("block"))
+    blocks = cut(parse.parse_blocks(of("block")))
     out: dict[str, DataFrame] = {"block": blocks}
+
+    def in_blocks(rows: DataFrame, what: str) -> DataFrame:
+        rows = cut(rows)
+        enrich.require_same_cardinality(rows, blocks, ("block_number", "number"), what)
+        return rows
+
     if "transaction" in needed:
-        out["transaction"] = enrich.enrich_transactions(
-            parse.parse_transactions(of("block")), parse.parse_receipts(of("receipt")))
+        transactions, receipts = cut(parse.parse_transactions(of("block"))), cut(parse.parse_receipts(of("receipt")))
+        enrich.require_same_cardinality(transactions, receipts, ("hash", "transaction_hash"), "transactions")
+        out["transaction"] = enrich.enrich_transactions(transactions, receipts)
     if "log" in needed:
-        logs = parse.parse_logs(of("receipt"))
+        logs = in_blocks(parse.parse_logs(of("receipt")), "logs")
         out["log"] = enrich.enrich_logs(blocks, logs)
         if "token_transfer" in needed:
-            out["token_transfer"] = enrich.enrich_token_transfers(blocks, transfers.extract_token_transfers(logs))
+            out["token_transfer"] = enrich.enrich_token_transfers(
+                blocks, in_blocks(transfers.extract_token_transfers(logs), "token transfers"))
     if "trace" in needed:
-        traces = tracecalc.finish_traces(parse.parse_traces(of("trace")))
+        parsed = cut(parse.parse_traces(of("trace")))
+        traces = in_blocks(tracecalc.finish_traces(tracecalc.require_parents(parsed)), "traces")
         out["trace"] = enrich.enrich_traces(blocks, traces)
         if "contract" in needed:
-            made = contracts.extract_contracts(traces)
+            made = in_blocks(contracts.extract_contracts(traces), "contracts")
             out["contract"] = enrich.enrich_contracts(blocks, made)
             if "token" in needed:
                 calls = of("call").select(F.from_json("body", "address string, call string, result string").alias("c")).select("c.*")
-                out["token"] = enrich.enrich_tokens(blocks, contracts.resolve_tokens(made, calls))
-    return {t: with_item_fields(out[t], t) for t in out if t in set(wanted) | {"block"}}
+                out["token"] = enrich.enrich_tokens(blocks, in_blocks(contracts.resolve_tokens(made, calls), "tokens"))
+    return {t: with_item_fields(enrich.canonical_order(out[t], t), t) for t in out if t in set(wanted) | {"block"}}
 
 
 def export_blocks(

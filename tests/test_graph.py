@@ -82,6 +82,15 @@ def test_dense_index_with_a_hot_second(spark):
     assert [(r.t, r.edge_id) for r in got] == sorted((r.t, r.edge_id) for r in got)
 
 
+def test_addresses_with_one_prefix_spread_over_slices(spark):
+    names = [f"0x{i:040x}" for i in range(400)]
+    rows = spark.createDataFrame(list(zip(names, reversed(names))), "from_address string, to_address string")
+    slices = skew.ranged(rows, F.col("from_address")).groupBy("_range").count().collect()
+    assert len(slices) > 1 and max(r["count"] for r in slices) < 200
+    index = graph.build_address_index(rows).orderBy("address").collect()
+    assert [(r.address, r.node_id, r.n) for r in index] == [(a, i, 2) for i, a in enumerate(names)]
+
+
 def brute_scc(rows):
     reach = defaultdict(set)
     for s, d, _ in rows:

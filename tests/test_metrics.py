@@ -22,6 +22,13 @@ def test_areas(spark):
     assert auc == 0.25 and abs(ap - 0.5) < 1e-12
 
 
+def test_curve_with_an_outlier_and_ties(spark):
+    rows = [(1e12, 0)] + [((i * 7 % 50) / 100, i % 3 % 2) for i in range(200)]
+    got = {r.score: (r.tp, r.fp) for r in curves.curve(scored(spark, rows)).collect()}
+    want = {s: (sum(y for x, y in rows if x >= s), sum(1 - y for x, y in rows if x >= s)) for s, _ in rows}
+    assert got == want
+
+
 def test_thresholds(spark):
     points = curves.curve(scored(spark, [(0.9, 1), (0.8, 0), (0.7, 1), (0.1, 0)]))
     assert curves.youden_threshold(points).first()[0] == 0.9

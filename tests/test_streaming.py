@@ -46,6 +46,20 @@ def test_online_patterns_do_not_depend_on_batches(spark, tmp_path):
     assert results[0] == results[1] and sum(r[3] for r in results[0]) > 0
 
 
+def test_late_rows_take_their_place_or_go(spark, tmp_path):
+    folder, base = str(tmp_path / "in"), str(tmp_path / "run")
+    later = [(10 + i, 0, 10 + i, 5000 + i, 1.0) for i in range(4)]
+    late = [(1, 0, 1, 4000, 1.0), (2, 0, 2, 900, 1.0)]
+    for part in (later, late):
+        spark.createDataFrame(part, EDGES).coalesce(1).write.mode("append").parquet(folder)
+    with jobs.rocksdb_state(spark):
+        jobs.append_to_parquet(SG.online_patterns(source(spark, folder)), base)
+    got = {r.edge_id: r for r in spark.read.parquet(f"{base}/out").filter("node_id = 0").collect()}
+    # 4000 is judged by itself alone, though four later edges are known; 900 is over an hour late.
+    assert set(got) == {1, 10, 11, 12, 13}
+    assert (got[1].fan_out_3, got[1].burst) == (0, 0) and got[13].fan_out_3 == 1
+
+
 def test_pattern_batches_score_the_last_state(spark, tmp_path):
     folder = str(tmp_path / "in")
     batch = edge_files(spark, folder)
@@ -93,6 +107,19 @@ def test_block_export_resumes_with_lag(spark, tmp_path):
         run(start_block=1)
 
 
+def test_items_without_their_receipt_or_parent_raise(spark):
+    def landed(*rows):
+        return spark.createDataFrame([(k, n, json.dumps(body)) for k, n, body in rows], SB.LANDED)
+
+    whole = [("block", 2, block(2)), ("receipt", 2, receipt(2)), ("block", 1, block(1)), ("receipt", 1, receipt(1))]
+    items = SB.enrich_items(landed(*whole), ["transaction"])
+    assert [r.number for r in items["block"].collect()] == [1, 2]
+    with pytest.raises(ValueError, match="number of transactions is wrong"):
+        SB.enrich_items(landed(*whole[:3]), ["transaction"])
+    with pytest.raises(ValueError, match="number of transactions is wrong"):
+        SB.enrich_items(landed(*whole, whole[1]), ["transaction"])
+
+
 def test_repeated_items_are_dropped(spark, tmp_path):
     folder, base = str(tmp_path / "in"), str(tmp_path / "run")
     for i in range(2):
