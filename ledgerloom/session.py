@@ -14,6 +14,8 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Copies of cut tables go once nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.files.maxPartitionBytes": "128m",
     # Methods past this bytecode size are never compiled by the JVM; split them instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",

@@ -6,22 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.contracts import classify_addresses, resolve_tokens
+from ..operators.enrich import require_same_cardinality
 from ..operators.parse import parse_blocks, parse_logs, parse_receipts, parse_transactions
 from ..operators.transfers import extract_token_transfers
+from ..session import cut
 
 
 def export_all(raw_blocks: DataFrame, raw_receipts: DataFrame, code: DataFrame, call_results: DataFrame) -> dict[str, DataFrame]:
-    """Every entity table from raw responses, chained without intermediate files.
+    """Every entity table from raw responses, each parsed once and kept in the shared folder.
 
-    Receipts are limited to the exported transactions, contracts to the distinct
+    Raises when a transaction has no receipt or several, or its block is missing. Receipts are limited to the exported transactions, contracts to the distinct
     addresses that receipts created, tokens to the distinct addresses in transfers.
     """
-    blocks = parse_blocks(raw_blocks)
-    transactions = parse_transactions(raw_blocks)
+    blocks = cut(parse_blocks(raw_blocks))
+    transactions = cut(parse_transactions(raw_blocks))
+    require_same_cardinality(transactions, blocks, ("block_number", "number"), "transactions")
     hashes = transactions.select(F.col("hash").alias("transaction_hash")).distinct()
-    receipts = parse_receipts(raw_receipts).join(hashes, "transaction_hash", "left_semi")
-    logs = parse_logs(raw_receipts).join(hashes, "transaction_hash", "left_semi")
-    transfers = extract_token_transfers(logs)
+    receipts = cut(parse_receipts(raw_receipts).join(hashes, "transaction_hash", "left_semi"))
+    require_same_cardinality(transactions, receipts, ("hash", "transaction_hash"), "transactions")
+    logs = cut(parse_logs(raw_receipts).join(hashes, "transaction_hash", "left_semi"))
+    transfers = cut(extract_token_transfers(logs))
     created = receipts.filter(F.col("contract_address") != "").select(F.col("contract_address").alias("address")).distinct()
     contracts = classify_addresses(created, code)
     token_addresses = transfers.select(F.col("token_address").alias("address")).distinct().select(
