@@ -22,6 +22,7 @@ from ledgerloom.llm.common import planes, unplanes
 
 CHUNK_BYTES = 2 << 20
 RANGE_BYTES = 16 << 20
+ROW_BYTES = 16  # what a row counts beside its text, so that many empty texts make many chunks too
 
 
 class Layout:
@@ -32,7 +33,7 @@ class Layout:
     """
 
     def __init__(self, documents: DataFrame):
-        total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        total = documents.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
         size = min(64 << 20, max(CHUNK_BYTES, math.isqrt(total) * 64))
         self.total = total
         self.chunks = max(1, math.ceil(total / size))

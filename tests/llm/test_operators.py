@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -240,3 +241,17 @@ def test_lm_learns_and_averages_in_levels(spark, monkeypatch):
     held = [i for i in one if i % 5 == 1]
     assert sum(one[i][1] for i in held) > 0.9 * sum(one[i][0] for i in held)  # log10 of probabilities: less negative is better
     assert all(abs(many[i] - one[i][1]) < 0.02 * abs(one[i][1]) for i in one)
+
+
+def test_toxicity_stems_share_counts_of_unseen_forms():
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(400)]
+    text = lambda n, extra=(): " ".join([*rng.choices(vocabulary, k=n), *extra, *rng.choices(vocabulary, k=n)])
+    forms = ["grumx" + "".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
+    rows = [(text(15, forms[3 * i: 3 * i + 3]), 1) if i % 3 == 0 else (text(15), 0) for i in range(120)]
+    scorer = toxicity.Scorer(rows)
+    found = [text(15, forms[380 + i: 383 + i]) for i in range(8)] + [text(15) for _ in range(8)] + ["", "GRUMXNEW grumxold"]
+    scores = [float(scorer.score(*part)[0]) for t in found for part in toxicity._slices([t])]
+    assert min(scores[:8]) >= 0.5 > max(scores[8:17]) and scores[17] >= 0.5
+    words = toxicity.word_hashes(*toxicity.text_bytes(pa.array(["abcdefg abcdexyz", "abcde abcd"], pa.large_string())), toxicity.ALNUM, True, 5)
+    assert len(set(words.hashes[:3].tolist())) == 1 and words.hashes[3] != words.hashes[0]
