@@ -12,6 +12,7 @@ from ledgerloom.session import shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
+NEAR = 5, (80, 100)  # words of a shingle and similarity from which documents are linked
 
 
 def _texts(changed, spark_text):
@@ -28,10 +29,12 @@ def quality_stage(spark, docs, sf_dir):
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
-    """The document with the smallest id stays of every group of linked ones; of equal rows one."""
-    gone = jaccard.join(docs).filter("NOT kept").select("key")
+    """The document with the smallest id stays of every group of linked ones; of equal rows one. Texts without words all stay."""
+    gone = jaccard.join(docs, *NEAR).filter("NOT kept").select("key")
     rows = docs.select(*COLUMNS).withColumn("key", row_key())
-    return rows.join(gone.distinct(), "key", "left_anti").dropDuplicates(["key"]).select(*COLUMNS)
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = rows.filter(words).join(gone.distinct(), "key", "left_anti").dropDuplicates(["key"])
+    return once.unionByName(rows.filter(~words)).select(*COLUMNS)
 
 
 def substring_stage(spark, docs, sf_dir):

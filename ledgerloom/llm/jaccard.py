@@ -5,6 +5,7 @@
    the hash of the set's members in a part, or in two parts with few members. Linked
    sets therefore share a signature. The number of parts comes from the
    size class of a set; sets near the upper end of their class also sign as the next.
+   For thresholds under ``PARTS_FROM`` signatures are runs of neighbours in hash order instead.
 2. Signatures are gathered by ranges. Sets sharing one form stars around their smallest
    member, first inside a slice of documents, then inside a range, so a signature that very
    many sets share costs one row per slice. Components of these stars are the groups in
@@ -39,6 +40,8 @@ RANGE_BYTES = 16 << 20  # text whose signatures meet in one range
 BLOCK_SHINGLES = 300_000  # a block of a group holds about so many, and so many members
 BLOCK_MEMBERS = 1024
 CLASS_RATIO = 1.3
+RUN = 3  # shingles of a run
+PARTS_FROM = 0.9  # thresholds below sign by runs: parts would have so few members that many are empty, and empty ones agree in any two sets
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -103,6 +106,49 @@ def signatures(hashes: np.ndarray, t: float) -> np.ndarray:
     return np.concatenate(out)
 
 
+def run_length(n: int, num: int, den: int) -> int:
+    """Longest runs, up to ``RUN``, of which linked sets share one at least when the larger has ``n`` members."""
+    for w in range(RUN, 1, -1):
+        if _shared_runs(n, w, num, den) >= 1:
+            return w
+    return 1
+
+
+def _shared_runs(n: int, w: int, num: int, den: int) -> int:
+    """Least number of runs of ``w`` that linked sets share when their union has ``n`` members (or more, once it is positive).
+
+    In hash order the members of only one set cut the common ones into stretches. All runs inside a stretch are
+    runs of both sets, and ``common - (w - 1) * (others + 1)`` is the least number of them.
+    """
+    common = -(-num * n // den)
+    return common - (w - 1) * (n - common + 1)
+
+
+def run_signatures(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Signatures of a set for a low threshold: its runs of members that are neighbours in hash order.
+
+    Linked sets share some of their runs, so one is among those of smallest hash, as many as
+    leave out fewer than are shared. A set also signs with the run length of the largest set it may be linked with.
+    """
+    n = len(hashes)
+    if not n:
+        return hashes
+    mixed = mix64(hashes ^ _SALT)
+    out = []
+    most = den * n // num
+    # Least numbers grow with a period; only small sets have lengths out of order.
+    period = den // math.gcd(num, den)
+    for w in {run_length(u, num, den) for u in (range(n, most + 1) if n < 100 else (n, most))}:
+        if n < w:
+            continue
+        runs = np.full(n - w + 1, w, np.uint64)
+        for j in range(w):
+            runs = mix64(runs * np.uint64(3) + mixed[j: n - w + 1 + j])
+        spare = min(_shared_runs(u, w, num, den) for u in range(n, min(most, n + period) + 1)) - 1
+        out.append(np.sort(runs)[: len(runs) - max(0, spare)])
+    return np.concatenate(out)
+
+
 def _stars(sigs: np.ndarray, keys: np.ndarray):
     """Sorted distinct signatures with their smallest key, and distinct ``(key, smallest key)`` pairs."""
     order = np.lexsort((keys, sigs))
@@ -133,7 +179,7 @@ def _content(hashes: np.ndarray) -> tuple[int, int, int]:
     return len(hashes), np.add.reduce(hashes).astype(np.int64), np.bitwise_xor.reduce(mix64(hashes ^ (_SALT >> np.uint64(1)))).astype(np.int64)
 
 
-def _signed(documents: DataFrame, size: int, t: float, bits: int) -> DataFrame:
+def _signed(documents: DataFrame, size: int, num: int, den: int, bits: int) -> DataFrame:
     """Signatures and stars of each slice of documents, by range."""
     def run(batch):
         keys = np.asarray(batch.column(1)).astype(np.int64)
@@ -144,7 +190,7 @@ def _signed(documents: DataFrame, size: int, t: float, bits: int) -> DataFrame:
             if not content[0] or content in seen:
                 continue  # nothing to sign, or an equal set of this slice has signed already
             seen.add(content)
-            sigs.append(signatures(hashes, t))
+            sigs.append(signatures(hashes, num / den) if num / den >= PARTS_FROM else run_signatures(hashes, num, den))
             owners.append(np.full(len(sigs[-1]), keys[row]))
         if not sigs:
             return
@@ -262,7 +308,7 @@ def join(documents: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] =
     bits = max(5, math.ceil(math.log2(max(1, total / RANGE_BYTES))))
     # Two passes over the texts cost less than a copy of the signatures on the shared folder.
     rows = cut(_rows(documents, size))
-    stars = _signed(documents, size, num / den, bits).groupBy("range").applyInArrow(_range_stars, "a long, b long")
+    stars = _signed(documents, size, num, den, bits).groupBy("range").applyInArrow(_range_stars, "a long, b long")
     groups = components(stars)
 
     # Equal sets: the smallest key stands for all of them.

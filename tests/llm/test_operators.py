@@ -255,3 +255,34 @@ def test_toxicity_stems_share_counts_of_unseen_forms():
     assert min(scores[:8]) >= 0.5 > max(scores[8:17]) and scores[17] >= 0.5
     words = toxicity.word_hashes(*toxicity.text_bytes(pa.array(["abcdefg abcdexyz", "abcde abcd"], pa.large_string())), toxicity.ALNUM, True, 5)
     assert len(set(words.hashes[:3].tolist())) == 1 and words.hashes[3] != words.hashes[0]
+
+
+def test_runs_meet_for_every_linked_pair():
+    import numpy as np
+    rng = np.random.default_rng(5)
+    for _ in range(2000):
+        n = int(rng.integers(1, 60 if rng.random() < 0.7 else 900))
+        common = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
+        extra = 10 * n // 8 - n
+        a_only = int(rng.integers(0, extra + 1)) if rng.random() < 0.6 else 0
+        a = np.unique(np.concatenate([common, rng.integers(0, 2**63, a_only, dtype=np.uint64)]))
+        b = np.unique(np.concatenate([common, rng.integers(0, 2**63, extra - a_only, dtype=np.uint64)]))
+        assert set(jaccard.run_signatures(a, 80, 100).tolist()) & set(jaccard.run_signatures(b, 80, 100).tolist())
+
+
+def test_near_duplicate_stage_links_from_four_fifths(spark):
+    """Five-word copies of similarity 0.80 to 0.90 go; rows without words stay, however many are equal."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(7))
+    rows = []
+    for g in range(12):
+        base = [word() for _ in range(400)]
+        rows.append((10 * g, " ".join(base)))
+        rows.append((10 * g + 1, " ".join([*base, *(word() for _ in range(60))])))  # 0.87
+        rows.append((10 * g + 2, " ".join(word() if i % 50 == 49 else w for i, w in enumerate(base))))  # 0.82
+        rows.append((10 * g + 3, " ".join([*base[:200], *(word() for _ in range(200))])))  # under a half: stays
+    rows += [(None, None)] * 3 + [(None, "")] * 2 + [(7, " \t")] * 2 + [(5, "equal rows of words")] * 2
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, None).collect()
+    want = [i for i, _ in rows if i is not None and i % 10 in (0, 3)] + [None] * 5 + [7, 7, 5]
+    assert sorted((r.doc_id for r in kept), key=repr) == sorted(want, key=repr)
