@@ -53,11 +53,16 @@ class ByteNetwork:
             at = first[i] * BLOCK
             padded[at: at + lengths[i]] = data[bounds[i]: bounds[i + 1]]
         pooled = np.empty((int(first[-1]), len(self.b)), np.float32)
+        ends = np.zeros(len(pooled), bool)
+        ends[first[1:] - 1] = True
         step = 512
         for k in range(0, len(pooled), step):
             n = min(step, len(pooled) - k) * BLOCK
             values = self.responses(padded[k * BLOCK: k * BLOCK + n + WIDTH], n)
-            pooled[k: k + step] = values.reshape(-1, BLOCK, len(self.b)).max(1)
+            values = values.reshape(-1, BLOCK, len(self.b))
+            # A row's last positions hold padding only, but the filters there reach into the next row.
+            values[ends[k: k + step], BLOCK - WIDTH + 1:] = 0
+            pooled[k: k + step] = values.max(1)
         chunk = pooled.copy()
         chunk[:-1] = np.maximum(pooled[:-1], pooled[1:])
         last = first[1:] - 1

@@ -286,3 +286,14 @@ def test_near_duplicate_stage_links_from_four_fifths(spark):
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, None).collect()
     want = [i for i, _ in rows if i is not None and i % 10 in (0, 3)] + [None] * 5 + [7, 7, 5]
     assert sorted((r.doc_id for r in kept), key=repr) == sorted(want, key=repr)
+
+
+def test_quality_does_not_read_the_next_text():
+    import numpy as np
+    network = quality.ByteNetwork()
+    texts = [None, "", "a", "ab cd", "x" * 251, "y" * 252, "z" * 700]
+    score = lambda *t: network.score(*quality.text_bytes(pa.array(t, pa.string())))
+    for text in texts:
+        alone = score(text)[0]
+        for after in ["QUICK", "\x7f~}|{", "z z z z"]:
+            assert np.isclose(score(text, after)[0], alone, rtol=0, atol=1e-6)
