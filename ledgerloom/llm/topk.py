@@ -34,9 +34,16 @@ ROWS = 128  # queries of one pass
 
 
 class ImpactIndex:
-    def __init__(self, vectors: np.ndarray):
-        self.wide = bool(len(vectors)) and float(np.abs(vectors).max()) ** 2 * vectors.shape[1] >= 2**24
-        kind = np.float64 if self.wide else np.float32  # whole numbers stay exact
+    """Over whole numbers. Queries have components of at most ``reach``; scores are sums of 64-bit integers."""
+
+    def __init__(self, vectors: np.ndarray, reach: int):
+        self.exact = np.ascontiguousarray(vectors, np.int64)
+        self.reach = reach
+        # Every partial sum of products is at most this; whole numbers below 2^24 and 2^53 stay exact.
+        most = (int(np.abs(self.exact).max()) if self.exact.size else 0) * reach * vectors.shape[1]
+        kind = np.float32 if most < 2**24 else np.float64
+        # Sums that double precision rounds: bounds are raised by more than the rounding can be.
+        self.slack = 0.0 if most < 2**53 else 4.0 * (vectors.shape[1] + 4) * most * 2.0**-53
         self.vectors = vectors.astype(kind)
         self.n = len(vectors)
         size = np.abs(self.vectors)
@@ -53,7 +60,7 @@ class ImpactIndex:
     def search(self, queries: np.ndarray, k: int, own: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per query, rows and scores of all that can be among the k best; rows in ``own`` are left out."""
         out: list = [None] * len(queries)
-        queries = queries.astype(self.vectors.dtype)
+        whole, queries = queries.astype(np.int64), queries.astype(self.vectors.dtype)
         open_rows = np.arange(len(queries))
         sums = np.zeros((len(queries), self.n), self.vectors.dtype)
         for step, (segment, cap) in enumerate(zip(self.segments, self.caps)):
@@ -61,6 +68,7 @@ class ImpactIndex:
             sums += q @ segment.T
             last = step == len(self.segments) - 1
             bound = sums.copy() if last else sums + np.abs(q) @ cap.T
+            bound += bound.dtype.type(self.slack)
             for i, r in enumerate(open_rows):
                 bound[i, own[r]] = -np.inf
             if self.n > k:
@@ -68,13 +76,13 @@ class ImpactIndex:
             stay = []
             for i, r in enumerate(open_rows):
                 if self.n > k:
-                    scores = self.vectors[lead[i]] @ q[i]
+                    scores = self.exact[lead[i]] @ whole[r]
                     threshold = scores[np.isfinite(bound[i, lead[i]])].min() if np.isfinite(bound[i, lead[i]]).all() else -np.inf
-                    may = np.flatnonzero(bound[i] >= max(threshold, np.finfo(bound.dtype).min))
+                    may = np.flatnonzero(bound[i] >= max(float(threshold), np.finfo(bound.dtype).min))
                 else:
                     may = np.flatnonzero(bound[i] > -np.inf)
                 if last or len(may) <= max(4 * k, FEW * self.n):
-                    out[r] = may, self.vectors[may] @ q[i]
+                    out[r] = may, self.exact[may] @ whole[r]
                 else:
                     stay.append(i)
             open_rows, sums = open_rows[stay], sums[stay]
@@ -122,9 +130,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, matrix = numbers(row["ids"], row["wide"], row["parts"])
-                if held != row["shard"]:
-                    index, held = ImpactIndex(matrix), row["shard"]
                 q_ids, q_matrix = numbers(row["q_ids"], row["q_wide"], row["q_parts"])
+                reach = int(np.abs(q_matrix.astype(np.int64)).max()) if q_matrix.size else 0
+                if held != row["shard"] or reach > index.reach:
+                    index, held = ImpactIndex(matrix, reach), row["shard"]
                 out = [[], [], []]
                 for first in range(0, len(q_ids), ROWS):
                     some = q_ids[first: first + ROWS]

@@ -297,3 +297,15 @@ def test_quality_does_not_read_the_next_text():
         alone = score(text)[0]
         for after in ["QUICK", "\x7f~}|{", "z z z z"]:
             assert np.isclose(score(text, after)[0], alone, rtol=0, atol=1e-6)
+
+
+def test_top_k_of_a_large_query_among_small_vectors():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    small = rng.integers(-64, 65, (3000, 32))
+    for large in (50_000, 2_000_001, 2**40 + 1):
+        query = rng.integers(-large, large + 1, (1, 32))
+        (rows, scores), = topk.ImpactIndex(small, int(np.abs(query).max())).search(query, 20, [np.zeros(0, np.int64)])
+        want = small.astype(object) @ query[0].astype(object)
+        best = np.lexsort((rows, -scores))[:20]
+        assert [(int(rows[i]), int(scores[i])) for i in best] == sorted(((i, int(x)) for i, x in enumerate(want)), key=lambda p: (-p[1], p[0]))[:20]
