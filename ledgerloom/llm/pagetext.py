@@ -36,7 +36,7 @@ PATH, WORDS, NUMBERS, HIDDEN = 96, 48, 5, 16
 SIZE = PATH + WORDS + NUMBERS
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(script|style|noscript|template|svg|textarea|title|iframe|select)\b[^>]*>.*?(?:</\1\s*>|$)"
+    r"<!--.*?(?:-->|$)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>|[^<]+|<", re.S | re.I)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
@@ -45,6 +45,12 @@ INLINE = frozenset("a abbr b bdi bdo big br button cite code data del dfn em fon
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # A new one of these ends an open one of the same kind.
 CLOSES_ITSELF = frozenset("p li td th tr dt dd option".split())
+# Plain characters up to their end tag or the end of the page.
+RAW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "textarea", "title")}
+# Left out with all that is in them, up to their end tag or that of an element around them.
+HIDDEN_TAGS = {tag: re.compile(rf"</{tag}\b", re.I) for tag in ("noscript", "template", "svg", "iframe", "select")}
+# Where the page has no further end tag for one of those, it ends at one of these.
+BREAKS_OUT = frozenset("address article aside blockquote body center dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header li main nav ol p pre section table ul".split())
 
 
 class Block:
@@ -69,29 +75,58 @@ def blocks(page: str) -> list[Block]:
             pieces.clear()
         link[0] = 0
 
-    for m in _TOKEN.finditer(page):
-        tag = m.group(3) or m.group(6)
+    last_end: dict[str, int] = {}
+    hidden = None  # place in the stack of the outermost element that is left out
+    at = 0
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at = m.end()
+        tag = m.group(2) or m.group(5)
         if tag is None:
             piece = m.group(0)
-            if m.group(1) or piece.startswith(("<!", "<?")):
+            if hidden is not None or piece.startswith(("<!", "<?")):
                 continue
             pieces.append(piece)
             if any(t == "a" for t, _ in stack[-3:]):
                 link[0] += len(piece)
             continue
-        tag, closing, attributes = tag.lower(), m.group(2) or m.group(5), (m.group(4) or m.group(7) or "")
-        if tag in INLINE:
-            if tag == "br":
-                pieces.append(" ")
-        else:
-            flush()
+        tag, closing, attributes = tag.lower(), m.group(1) or m.group(4), (m.group(3) or m.group(6) or "")
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-        elif tag not in VOID and not attributes.rstrip().endswith("/"):
-            if tag == "body":
+            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if hidden is not None:
+                if found is None or found > hidden:
+                    del stack[len(stack) if found is None else found:]
+                    continue
+                del stack[hidden:]
+                inside, hidden = found == hidden, None
+                if inside:
+                    continue
+            if tag not in INLINE:
+                flush()
+            if found is not None:
+                del stack[found:]
+            continue
+        foreign = hidden is not None and any(t == "svg" for t, _ in stack[hidden:])
+        if tag in RAW and not foreign:
+            end = RAW[tag].search(page, at)
+            at = end.end() if end else len(page)
+            continue
+        if hidden is not None and tag in BREAKS_OUT:
+            name = stack[hidden][0]
+            if name not in last_end:
+                last_end[name] = max((e.start() for e in HIDDEN_TAGS[name].finditer(page, at)), default=-1)
+            if last_end[name] < at:
+                del stack[hidden:]
+                hidden = None
+        if hidden is None and tag not in HIDDEN_TAGS:
+            if tag not in INLINE:
+                flush()
+            elif tag == "br":
+                pieces.append(" ")
+        if tag not in VOID and not attributes.rstrip().endswith("/"):
+            if hidden is None and tag in HIDDEN_TAGS:
+                hidden = len(stack)
+            if hidden is None and tag == "body":
                 stack = [s for s in stack if s[0] != "head"]
             if tag in CLOSES_ITSELF and any(t == tag for t, _ in stack[-4:]):
                 while stack and stack[-1][0] != tag and (stack[-1][0] in INLINE or stack[-1][0] in CLOSES_ITSELF):

@@ -309,3 +309,12 @@ def test_top_k_of_a_large_query_among_small_vectors():
         want = small.astype(object) @ query[0].astype(object)
         best = np.lexsort((rows, -scores))[:20]
         assert [(int(rows[i]), int(scores[i])) for i in best] == sorted(((i, int(x)) for i, x in enumerate(want)), key=lambda p: (-p[1], p[0]))[:20]
+
+
+@pytest.mark.parametrize("tag", ["<svg class='icon'/>", "<svg><title/><path d='x'/><g/></svg>", "<svg><path d='x'>", "<select><option>no", "<noscript>", "<template>",
+                                 "<iframe src='x'>no</iframe>", "<noscript><p>no</p></noscript>", "<svg><text>no</text></svg>", "<template><div><p>no</div></template>"])
+def test_blocks_after_elements_left_out(tag):
+    texts = lambda page: [b.text for b in pagetext.blocks(page)]
+    assert texts(f"<body><div><p>one {tag}</p></div><p>two</p><p>three</p></body>") == ["one", "two", "three"]
+    assert texts(f"<body>{tag}<p>two</p><p>three</p>") == ["two", "three"]
+    assert texts("<p>a <select><option>no</option></select> b</p><script>if (a < b) '<p>no</p>'</script><p>c") == ["a b", "c"]
