@@ -2,8 +2,8 @@
 
 A page is cut into leaf blocks: runs of text between block-level tags, with scripts, styles,
 comments and the head left out, character references decoded and white space made single.
-A block is described by its hashed tag path (tags and the words of their class and id), its
-hashed words, and its length, link share and place. A bidirectional LSTM in numpy reads the
+A block is described by its whole tag path, hashed (tags and the words of their class and id), its
+innermost elements once more, its hashed words, and its length, link share and place. A bidirectional LSTM in numpy reads the
 vectors of all blocks of a page and gives every block the probability of belonging to
 the main text; blocks of at least one half are joined in page order by two line feeds.
 
@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import mapped, read
 
 PAGES, LAID_OUT = 150, 450
-PATH, WORDS, NUMBERS, HIDDEN = 96, 48, 5, 16
-SIZE = PATH + WORDS + NUMBERS
+PATH, NEAR, WORDS, NUMBERS, HIDDEN = 96, 48, 48, 5, 16
+SIZE = PATH + NEAR + WORDS + NUMBERS
+INNERMOST = 4  # elements of a path that are also described apart from the others
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*>"
@@ -87,7 +88,7 @@ def blocks(page: str) -> list[Block]:
             if hidden is not None or piece.startswith(("<!", "<?")):
                 continue
             pieces.append(piece)
-            if any(t == "a" for t, _ in stack[-3:]):
+            if any(t == "a" for t, _ in stack):
                 link[0] += len(piece)
             continue
         tag, closing, attributes = tag.lower(), m.group(1) or m.group(4), (m.group(3) or m.group(6) or "")
@@ -148,15 +149,17 @@ def vectors(page: list[Block]) -> np.ndarray:
     out = np.zeros((len(page), SIZE), np.float32)
     for i, block in enumerate(page):
         row = out[i]
-        for tag, names in block.path[-8:]:
-            row[_slot(tag, PATH)] += 1
-            for name in names:
-                row[_slot("." + name, PATH)] += 1
-        np.minimum(row[:PATH], 2, out=row[:PATH])
+        for first, size, elements in ((0, PATH, block.path), (PATH, NEAR, block.path[-INNERMOST:])):
+            for tag, names in elements:
+                row[first + _slot(tag, size)] += 1
+                for name in names:
+                    row[first + _slot("." + name, size)] += 1
+        np.minimum(row[:PATH + NEAR], 2, out=row[:PATH + NEAR])
         words = block.text.split()
+        begin = PATH + NEAR
         for word in words:
-            row[PATH + _slot(word.lower(), WORDS)] += 1
-        row[PATH: PATH + WORDS] = np.log1p(row[PATH: PATH + WORDS]) * 0.3
+            row[begin + _slot(word.lower(), WORDS)] += 1
+        row[begin: begin + WORDS] = np.log1p(row[begin: begin + WORDS]) * 0.3
         n = len(block.text)
         row[-NUMBERS:] = (np.log1p(n) / 5, min(1.0, block.link / max(1, n)), sum(c in ".,;!?" for c in block.text) / max(4, len(words)),
                           i / len(page), float(len(words) < 8))
@@ -237,7 +240,7 @@ class Labeller:
                 out[i] = p[: len(pages[i]), k]
         return out
 
-    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 6, seed: int = 13) -> Labeller:
+    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 12, seed: int = 13) -> Labeller:
         rng = np.random.default_rng(seed)
         params = [self.ahead.wx, self.ahead.wh, self.ahead.b, self.back.wx, self.back.wh, self.back.b, self.v, self.c]
         moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
@@ -295,6 +298,12 @@ def laid_out(texts: list[str], rng) -> tuple[str, list[float]]:
 
     labels: list[float] = []
 
+    def deep(inner, most):
+        """Sometimes inside up to ``most`` more elements that say nothing."""
+        for _ in range(int(rng.integers(1, most + 1)) if rng.random() < 0.1 else 0):
+            inner = pick(["<div>{}</div>", "<div>{}</div>", "<div class='row'>{}</div>", "<section>{}</section>", "<ol><li>{}</li></ol>", "<ul><li><div>{}</div></li></ul>"]).format(inner)
+        return inner
+
     def side():
         name, kind = pick(SIDE_NAMES), pick(["nav", "header", "footer", "aside", "form", "div", "div", "div", "section", "ul"])
         mark = f' class="{name}"' if kind in ("div", "section", "ul") or rng.random() < 0.4 else ""
@@ -304,9 +313,9 @@ def laid_out(texts: list[str], rng) -> tuple[str, list[float]]:
         for _ in range(n):
             text = words(4, 40) if long and rng.random() < 0.7 else words(1, 7)
             shape = pick(["<li><a href='#'>{}</a></li>", "<p>{}</p>", "<div>{}</div>", "<a href='#'>{}</a><br>" if n == 1 else "<li>{}</li>", "<h3>{}</h3>"])
-            inner.append(shape.format(text))
+            inner.append(deep(shape.format(text), 6))
             labels.append(0.0)
-        return f"<{kind}{mark}>{''.join(inner)}</{kind}>"
+        return f"<{kind}{mark}>{deep(''.join(inner), 4)}</{kind}>"
 
     def main():
         kind = pick(["article", "main", "div", "div", "div", "section"])
@@ -315,19 +324,19 @@ def laid_out(texts: list[str], rng) -> tuple[str, list[float]]:
         labels.append(1.0)
         for _ in range(int(rng.integers(1, 14))):
             shape = pick(["<p>{}</p>"] * 6 + ["<h2>{}</h2>", "<li>{}</li>", "<blockquote>{}</blockquote>", "<div>{}</div>", "<pre>{}</pre>"])
-            inner.append(shape.format(words(1, 9) if rng.random() < 0.2 else words(8, 90)))
+            inner.append(deep(shape.format(words(1, 9) if rng.random() < 0.2 else words(8, 90)), 4))
             labels.append(1.0)
             if rng.random() < 0.06:
                 inner.append(side())
         if rng.random() < 0.1:
-            return f"<{kind}{mark}>{''.join(inner)}{side()}</{kind}>"
-        return f"<{kind}{mark}>{''.join(inner)}</{kind}>"
+            return f"<{kind}{mark}>{deep(''.join(inner) + side(), 6)}</{kind}>"
+        return f"<{kind}{mark}>{deep(''.join(inner), 6)}</{kind}>"
 
     before = "".join(side() for _ in range(int(rng.integers(0, 4))))
     middle = main()
     after = "".join(side() for _ in range(int(rng.integers(0, 5))))
     wrap = pick(["{}", "<div class='wrapper'>{}</div>", "<div id='page'><div class='row'>{}</div></div>"])
-    return f"<html><body>{wrap.format(before + middle + after)}</body></html>", labels
+    return f"<html><body>{deep(wrap.format(before + middle + after), 6)}</body></html>", labels
 
 
 def fit(pages: DataFrame, bound: int = PAGES, made: int = LAID_OUT) -> Labeller:

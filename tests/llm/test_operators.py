@@ -318,3 +318,15 @@ def test_blocks_after_elements_left_out(tag):
     assert texts(f"<body><div><p>one {tag}</p></div><p>two</p><p>three</p></body>") == ["one", "two", "three"]
     assert texts(f"<body>{tag}<p>two</p><p>three</p>") == ["two", "three"]
     assert texts("<p>a <select><option>no</option></select> b</p><script>if (a < b) '<p>no</p>'</script><p>c") == ["a b", "c"]
+
+
+def test_page_vectors_read_the_whole_path():
+    import numpy as np
+    page = lambda outer: pagetext.blocks(f"<body>{outer}" + "<li><div><ol>" * 3 + "<li><div><p>A reply of some words</p>")
+    plain, marked = page("<ol>"), page("<ol class=comments>")
+    assert len(marked[0].path) > 10 and not np.array_equal(pagetext.vectors(plain), pagetext.vectors(marked))
+    assert pagetext.blocks("<a href='#'><b><i><u><em>far inside</em></u></i></b></a>")[0].link == len("far inside")
+    rng = np.random.default_rng(1)
+    made = [(pagetext.blocks(p), y) for p, y in (pagetext.laid_out(["some words of a longer text"] * 3, rng) for _ in range(60))]
+    assert max(len(b.path) for page, _ in made for b in page) > 12
+    assert sum(len(page) == len(y) for page, y in made) > 50
