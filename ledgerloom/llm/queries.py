@@ -5,7 +5,7 @@ from __future__ import annotations
 import pathlib
 
 import corpus_pipeline
-from ledgerloom.llm import contamination, jaccard, language, lm, mixing, pagetext, quality, substrings, topk, toxicity
+from ledgerloom.llm import contamination, conversations, infill, jaccard, language, lm, mixing, pagetext, quality, substrings, tokencounts, topk, toxicity
 
 ROOT = str(pathlib.Path(__file__).resolve().parents[2])
 
@@ -32,6 +32,9 @@ QUERIES = {name: _with_path(query) for name, query in {
     "op8_top_k": topk.op8,
     "op9_language": language.op9,
     "op10_html_text": pagetext.op10,
+    "op11_infill": infill.op11,
+    "op12_token_counts": tokencounts.op12,
+    "op13_conversation_repair": conversations.op13,
     "pipeline": corpus_pipeline.run,
 }.items()}
 
@@ -41,4 +44,6 @@ ORACLES = {
     "op5_jaccard_join": jaccard.ORACLE,
     "op7_source_mix": mixing.ORACLE,
     "op8_top_k": topk.ORACLE,
+    "op11_infill": infill.ORACLE,
+    "op13_conversation_repair": conversations.ORACLE,
 }
