@@ -6,16 +6,22 @@
    sets therefore share a signature. The number of parts comes from the
    size class of a set; sets near the upper end of their class also sign as the next.
    For thresholds under ``PARTS_FROM`` signatures are runs of neighbours in hash order instead.
-2. Signatures are gathered by ranges. Sets sharing one form stars around their smallest
-   member, first inside a slice of documents, then inside a range, so a signature that very
-   many sets share costs one row per slice. Components of these stars are the groups in
+2. Signatures are gathered by ranges, each with the number of its set's content, so that equal sets
+   are one from the start. Sets sharing one form stars around the smallest, first inside a
+   slice of documents, then inside a range; a slice and a range each send a spanning forest, one
+   link per set and not one per shared signature. Components of these forests are the groups in
    which links can exist.
-3. Groups are cut into blocks; every two blocks of a group meet once, small groups are
-   packed together. In a block an inverted index over shingles is searched for every
-   member: the longest lists are set aside, the short ones merged and counted, members
-   with enough occurrences looked up in the long lists by binary search, and those that
-   reach the required overlap are linked. A member whose group is already joined through
-   other links is not reported again, so links stay below the number of members.
+3. Small groups are packed together, large ones are cut into blocks. In a block an inverted index over
+   shingles is searched: the longest lists are set aside, the short ones merged with a heap that skips
+   what cannot reach the count, members with enough occurrences looked up in the long lists by
+   binary search, and those that reach the required overlap are linked. Sets that are joined to
+   the hub of their group already need no search of their own: every pair outside one component
+   has been searched from one side at least.
+4. Blocks of a large group meet by way of representatives: the smallest set of each component found so far
+   is searched among its like. Then all sets outside their group's largest component are *open*, and only
+   blocks of open sets are compared with all blocks of the group. A group of near copies has few open
+   sets, so every text is sent a few times whatever the size of the group; for a group whose sets are
+   unlike each other that is the comparison of all its blocks, which is exact.
 
 Nothing is approximate except the 64-bit hashes. Sets with equal content are one member.
 Null, empty and word-less texts have no shingles and are linked with nothing. Equal rows
@@ -24,7 +30,9 @@ are linked unless empty. Null ids take part; a component of null ids only has a
 
 from __future__ import annotations
 
+import heapq
 import math
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -149,18 +157,40 @@ def run_signatures(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _stars(sigs: np.ndarray, keys: np.ndarray):
-    """Sorted distinct signatures with their smallest key, and distinct ``(key, smallest key)`` pairs."""
-    order = np.lexsort((keys, sigs))
-    sigs, keys = sigs[order], keys[order]
+def _stars(sigs: np.ndarray, owners: np.ndarray):
+    """Sorted distinct signatures with their smallest owner, and ``(owner, smallest owner)`` pairs."""
+    order = np.lexsort((owners, sigs))
+    sigs, owners = sigs[order], owners[order]
     first = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]])) if len(sigs) else np.zeros(0, np.int64)
-    pivot = np.repeat(keys[first], np.diff(np.append(first, len(sigs))))
-    other = keys != pivot
-    pairs = np.stack([keys[other], pivot[other]], 1)
-    if len(pairs):
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])]
-    return sigs[first], keys[first], pairs
+    pivot = np.repeat(owners[first], np.diff(np.append(first, len(sigs))))
+    other = owners != pivot
+    return sigs[first], owners[first], np.stack([owners[other], pivot[other]], 1)
+
+
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """``(member, smallest member)`` of each connected component of pairs, without the smallest themselves; sorted by member."""
+    members, at = np.unique(pairs, return_inverse=True)
+    x, y = at.reshape(-1, 2).T
+    root = np.arange(len(members))
+    while True:
+        least = np.minimum(root[x], root[y])
+        new = root.copy()
+        for end in (x, y, root[x], root[y]):
+            np.minimum.at(new, end, least)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    other = root != np.arange(len(members))
+    return np.stack([members[other], members[root[other]]], 1)
+
+
+def _named(owners: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """Owners by the roots of a forest."""
+    if not len(links):
+        return owners
+    at = np.minimum(np.searchsorted(links[:, 0], owners), len(links) - 1)
+    return np.where(links[at, 0] == owners, links[at, 1], owners)
 
 
 def _rows(documents: DataFrame, size: int) -> DataFrame:
@@ -179,10 +209,14 @@ def _content(hashes: np.ndarray) -> tuple[int, int, int]:
     return len(hashes), np.add.reduce(hashes).astype(np.int64), np.bitwise_xor.reduce(mix64(hashes ^ (_SALT >> np.uint64(1)))).astype(np.int64)
 
 
+def _owner(content: tuple[int, int, int]) -> np.int64:
+    """The number under which a set signs. Unlike sets of one number only meet in a group, where texts decide."""
+    return content[1] ^ (content[2] >> np.int64(1))
+
+
 def _signed(documents: DataFrame, size: int, num: int, den: int, bits: int) -> DataFrame:
-    """Signatures and stars of each slice of documents, by range."""
+    """Signatures and the forest of each slice of documents, by range."""
     def run(batch):
-        keys = np.asarray(batch.column(1)).astype(np.int64)
         seen: set = set()
         sigs, owners = [], []
         for row, hashes in shingle_sets(batch.column(0), size):
@@ -191,10 +225,12 @@ def _signed(documents: DataFrame, size: int, num: int, den: int, bits: int) -> D
                 continue  # nothing to sign, or an equal set of this slice has signed already
             seen.add(content)
             sigs.append(signatures(hashes, num / den) if num / den >= PARTS_FROM else run_signatures(hashes, num, den))
-            owners.append(np.full(len(sigs[-1]), keys[row]))
+            owners.append(np.full(len(sigs[-1]), _owner(content)))
         if not sigs:
             return
         sig, key, pairs = _stars(np.concatenate(sigs), np.concatenate(owners))
+        pairs = forest(pairs)
+        key = _named(key, pairs)
         ranges = (sig >> np.uint64(64 - bits)).astype(np.int64)
         pair_ranges = mix64(pairs[:, 0].astype(np.uint64)) >> np.uint64(64 - bits)
         out: list[list] = [[], [], [], [], []]
@@ -207,7 +243,7 @@ def _signed(documents: DataFrame, size: int, num: int, den: int, bits: int) -> D
                                            planes(mine[:, 0].astype(np.uint64)), planes(mine[:, 1].astype(np.uint64)))):
                 column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]], ["range", "sigs", "owners", "a", "b"])
-    return mapped(documents.select("text", row_key().alias("key")), run, "range int, sigs binary, owners binary, a binary, b binary")
+    return mapped(documents.select("text"), run, "range int, sigs binary, owners binary, a binary, b binary")
 
 
 def _range_stars(table: pa.Table) -> pa.Table:
@@ -215,47 +251,71 @@ def _range_stars(table: pa.Table) -> pa.Table:
         return np.concatenate([unplanes(b.as_py()) for b in table[name]])
     _, _, pairs = _stars(column("sigs"), column("owners").astype(np.int64))
     local = np.stack([column("a"), column("b")], 1).astype(np.int64)
-    pairs = np.concatenate([pairs, local]) if len(local) else pairs
+    pairs = forest(np.concatenate([pairs, local]))
     return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
+def merge_skip(lists: list[list[int]], least: int) -> tuple[list[int], list[int]]:
+    """Members of at least ``least`` of the sorted lists, and of how many, by a heap of list heads.
+
+    Heads that stand together are counted and moved on. If there are too few of them, as many heads are taken as can be
+    missed, and all jump to the next head by binary search: nothing before it can reach the count.
+    """
+    heap = [(head[0], i) for i, head in enumerate(lists)]
+    heapq.heapify(heap)
+    at = [0] * len(lists)
+    found, counts = [], []
+    while len(heap) >= least:
+        member, popped = heap[0][0], []
+        while heap and heap[0][0] == member:
+            popped.append(heapq.heappop(heap)[1])
+        if len(popped) >= least:
+            found.append(member)
+            counts.append(len(popped))
+            for i in popped:
+                at[i] += 1
+        else:
+            while len(popped) < least - 1:
+                popped.append(heapq.heappop(heap)[1])
+            target = heap[0][0]
+            for i in popped:
+                at[i] = bisect_left(lists[i], target, at[i])
+        for i in popped:
+            if at[i] < len(lists[i]):
+                heapq.heappush(heap, (lists[i][at[i]], i))
+    return found, counts
+
+
 class InvertedIndex:
     """Shingle -> members, over the sets of a block."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
         self.sizes = np.array([len(s) for s in sets], np.int64)
         every = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(every, kind="stable")  # owners stay in order inside a list
         self.members = owner[order]
-        self.terms, self.starts, counts = np.unique(every[order], return_index=True, return_counts=True)
-        self.counts = counts
+        self.terms, self.starts, self.counts = np.unique(every[order], return_index=True, return_counts=True)
 
-    def search(self, q: int, num: int, den: int) -> np.ndarray:
-        """Members after ``q`` whose overlap reaches den * both >= num * union."""
-        hashes = self.sets[q]
+    def search(self, hashes: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Members whose overlap with a set reaches num / den of the union."""
         n = len(hashes)
         least = -(-num * n // den)  # a linked set shares this many at least
-        at = np.searchsorted(self.terms, hashes)
-        starts, counts = self.starts[at], self.counts[at]
-        shared = counts > 1
-        if shared.sum() < least:
+        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+        at = at[self.terms[at] == hashes]
+        if len(at) < least:
             return np.zeros(0, np.int64)
-        starts, counts = starts[shared], counts[shared]
+        starts, counts = self.starts[at], self.counts[at]
         # Set aside the longest lists, as many as leaves one occurrence among the short ones to ask for.
-        longest = int(counts.max())
-        aside = min(len(counts), least - 1, int(least / (0.05 * math.log2(longest) + 1)))
+        aside = min(len(counts), least - 1, int(least / (0.05 * math.log2(max(2, counts.max())) + 1)))
         order = np.argsort(counts, kind="stable")
         short, long = order[: len(counts) - aside], order[len(counts) - aside:]
-        lengths = counts[short]
-        rows = np.repeat(starts[short], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        occurs = np.bincount(self.members[rows], minlength=len(self.sets))
-        may = np.flatnonzero(occurs >= least - aside)
-        may = may[may > q]
+        may, have = merge_skip([self.members[starts[i]: starts[i] + counts[i]].tolist() for i in short], least - aside)
+        may, have = np.array(may, np.int64), np.array(have, np.int64)
+        sizes = self.sizes[may]
+        fit = (den * sizes >= num * n) & (den * n >= num * sizes)
+        may, have = may[fit], have[fit]
         need = -(-num * (n + self.sizes[may]) // (num + den))
-        may, need = may[(den * self.sizes[may] >= num * n) & (den * n >= num * self.sizes[may])], need[(den * self.sizes[may] >= num * n) & (den * n >= num * self.sizes[may])]
-        have = occurs[may]
         for k, i in enumerate(long):
             if not len(may):
                 break
@@ -267,35 +327,115 @@ class InvertedIndex:
         return may[have >= need]
 
 
+class Links:
+    """Links of a block as a forest, with the sizes of its trees."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.root, self.size = keys, list(range(len(keys))), [1] * len(keys)
+        self.a: list[int] = []
+        self.b: list[int] = []
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def add(self, x: int, y: int) -> None:
+        p, q = self.find(x), self.find(y)
+        if p != q:
+            p, q = (p, q) if self.size[p] >= self.size[q] else (q, p)
+            self.root[q] = p
+            self.size[p] += self.size[q]
+            self.a.append(self.keys[x])
+            self.b.append(self.keys[y])
+
+    def table(self) -> pa.Table:
+        return pa.table({"a": pa.array(self.a, pa.int64()), "b": pa.array(self.b, pa.int64())})
+
+
+def _sets(table: pa.Table, size: int) -> tuple[pa.Table, list[np.ndarray]]:
+    table = table.sort_by("key")
+    sets: list = [None] * table.num_rows
+    for row, hashes in shingle_sets(table["text"], size):
+        sets[row] = hashes
+    return table, sets
+
+
 def _links_in_block(size: int, num: int, den: int):
+    """Links inside a block, group by group (column ``root``)."""
     def run(table: pa.Table) -> pa.Table:
-        keys = table["key"].to_numpy()
-        order = np.argsort(keys, kind="stable")
-        table, keys = table.take(pa.array(order)), keys[order]
-        sets: list = [None] * len(keys)
-        for row, hashes in shingle_sets(table["text"], size):
-            sets[row] = hashes
-        index = InvertedIndex(sets)
-        root = np.arange(len(keys))
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        a, b = [], []
-        for q in range(len(keys)):
-            for other in index.search(q, num, den).tolist():
-                x, y = find(q), find(other)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    a.append(keys[other])
-                    b.append(keys[q])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        table, sets = _sets(table, size)
+        index, links = InvertedIndex(sets), Links(table["key"].to_numpy())
+        groups: dict[int, list[int]] = {}
+        for i, group in enumerate(table["root"].to_pylist()):
+            groups.setdefault(group, []).append(i)
+        for members in groups.values():
+            hub, waiting = members[0], members
+            # Done when all that were not searched are in the hub's component.
+            while waiting:
+                later = []
+                for q in waiting:
+                    if q != hub and links.find(q) == links.find(hub):
+                        later.append(q)
+                        continue
+                    for other in index.search(sets[q], num, den).tolist():
+                        links.add(q, other)
+                    if links.size[links.find(q)] > links.size[links.find(hub)]:
+                        hub = q
+                waiting = [q for q in later if links.find(q) != links.find(hub)]
+        return links.table()
     return run
 
 
+def _links_to_open(size: int, num: int, den: int):
+    """Links between the open sets sent to a block and the sets that live there."""
+    def run(table: pa.Table) -> pa.Table:
+        table, sets = _sets(table, size)
+        is_open = np.array(table["_open"])
+        home, asking = np.flatnonzero(~is_open), np.flatnonzero(is_open)
+        links = Links(table["key"].to_numpy())
+        if len(home) and len(asking):
+            index = InvertedIndex([sets[i] for i in home])
+            for q in asking:
+                for other in index.search(sets[q], num, den).tolist():
+                    links.add(int(q), int(home[other]))
+        return links.table()
+    return run
+
+
+def _between_blocks(members: DataFrame, found: DataFrame, with_texts, search, search_open) -> DataFrame:
+    """Links between blocks of large groups, given those inside blocks."""
+    # Representatives find one another; as many blocks of them as they need.
+    inside = cut(_labels(members, found))
+    speakers = inside.filter("key = label")
+    room = speakers.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS)).cast("int").alias("_room"))
+    met = speakers.join(room, "root").select("key", "root", F.col("root").alias("_g"), F.pmod(F.xxhash64("key"), F.col("_room")).cast("int").alias("_block"))
+    links = cut(with_texts(met).groupBy("_g", "_block").applyInArrow(search, "a long, b long"))
+
+    # What is not in the largest component of its group is open and meets every block.
+    whole = cut(_labels(members, found.unionByName(links)))
+    counts = whole.groupBy("root", "label").agg(F.count("*").alias("_c"))
+    largest = counts.groupBy("root").agg(F.max(F.struct("_c", "label")).alias("_top")).select(F.col("root").alias("_r"), F.col("_top.label").alias("_label"))
+    open_sets = cut(whole.join(largest, F.col("root") == F.col("_r")).filter("label <> _label").select("key", "root", "n", "_blocks"))
+    if open_sets.isEmpty():
+        return links
+    shares = open_sets.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS)).cast("int").alias("_shares"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = open_sets.join(shares, "root").select("key", "root", F.pmod(F.xxhash64("key"), F.col("_shares")).cast("int").alias("_share"), each("_blocks").alias("_block"), F.lit(True).alias("_open"))
+    home = members.join(shares, "root").select("key", "root", "_block", each("_shares").alias("_share"), F.lit(False).alias("_open"))
+    placed = with_texts(home.unionByName(asking).withColumn("_g", F.col("root")))
+    return links.unionByName(cut(placed.groupBy("_g", "_share", "_block").applyInArrow(search_open, "a long, b long")))
+
+
+def _labels(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of large groups with the smallest key of their component."""
+    mine = links.join(members.select(F.col("key").alias("a")), "a", "left_semi")
+    roots = components(mine).select(F.col("v").alias("key"), F.col("root").alias("_l"))
+    return members.join(roots, "key", "left").withColumn("label", F.coalesce("_l", "key")).drop("_l")
+
+
 def join(documents: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """``(doc_id, key, n_shingles, component_id, kept)``, one row per row of documents.
 
@@ -315,21 +455,23 @@ def join(documents: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] =
     content = ["n", "c1", "c2"]
     equal = cut(rows.filter("n > 0").groupBy(*content).agg(F.min("key").alias("_rep")))
     named = cut(rows.join(equal, content, "left").select("doc_id", "n", "key", "_rep"))
-    # Any row of an equal set may have signed for it; all of them are in one group.
-    members = cut(groups.withColumnRenamed("v", "key").join(named.filter("n > 0").select("key", "_rep", "n"), "key").select(
-        F.col("_rep").alias("key"), "root", "n").distinct())
+    owner = F.col("c1").bitwiseXOR(F.shiftright("c2", 1))
+    members = cut(equal.select(F.col("_rep").alias("key"), "n", owner.alias("v")).join(groups, "v").select("key", "root", "n"))
     blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS)).cast("int")
     sized = cut(members.groupBy("root").agg(F.count("*").alias("_m"), F.sum("n").alias("_sum"), blocks.alias("_blocks")).filter("_m > 1"))
-    packs = max(1, math.ceil((sized.agg(F.sum("_sum")).first()[0] or 0) / BLOCK_SHINGLES))
-    members = cut(members.join(sized, "root").select("key", "root", "_blocks"))
-    placed = documents.select("text", row_key().alias("key")).join(members.hint("shuffle_merge"), "key").dropDuplicates(["key"])
-    # A member of a group of several blocks goes where its block meets each of them.
-    meets = F.when(F.col("_blocks") > 1, F.expr("transform(sequence(0, _blocks - 1), i -> struct(least(i, _mine) AS lo, greatest(i, _mine) AS hi))")).otherwise(
-        F.array(F.struct(F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))))
-    placed = placed.withColumn("_mine", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int")).withColumn("_p", F.explode(meets)).select(
-        F.when(F.col("_blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(packs))).alias("_g"),
-        F.col("_p.lo").alias("_lo"), F.col("_p.hi").alias("_hi"), "key", "text")
-    found = cut(placed.groupBy("_g", "_lo", "_hi").applyInArrow(_links_in_block(size, num, den), "a long, b long"))
+    packs = max(1, math.ceil((sized.filter("_blocks = 1").agg(F.sum("_sum")).first()[0] or 0) / BLOCK_SHINGLES))
+    members = cut(members.join(sized, "root").select("key", "root", "n", "_blocks", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int").alias("_block")))
+    large = F.col("_blocks") > 1
+
+    def with_texts(chosen: DataFrame) -> DataFrame:
+        return documents.select("text", row_key().alias("key")).join(chosen.hint("shuffle_merge"), "key").dropDuplicates(["key", *[c for c in chosen.columns if c.startswith("_")]])
+
+    placed = with_texts(members.select("key", "root", "_block", F.when(large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(packs))).alias("_g"), large.alias("_large")))
+    search = _links_in_block(size, num, den)
+    found = cut(placed.groupBy("_large", "_g", "_block").applyInArrow(search, "a long, b long"))
+    many = members.filter(large)
+    if not many.isEmpty():
+        found = found.unionByName(_between_blocks(many, found, with_texts, search, _links_to_open(size, num, den)))
 
     # Links between sets, then the smallest id of each component over all rows.
     roots = components(found)
