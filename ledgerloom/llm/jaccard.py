@@ -405,14 +405,14 @@ def _links_to_open(size: int, num: int, den: int):
     return run
 
 
-def _between_blocks(members: DataFrame, found: DataFrame, with_texts, search, search_open) -> DataFrame:
+def _between_blocks(members: DataFrame, found: DataFrame, texts: DataFrame, search, search_open) -> DataFrame:
     """Links between blocks of large groups, given those inside blocks."""
     # Representatives find one another; as many blocks of them as they need.
     inside = cut(_labels(members, found))
     speakers = inside.filter("key = label")
     room = speakers.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS)).cast("int").alias("_room"))
     met = speakers.join(room, "root").select("key", "root", F.col("root").alias("_g"), F.pmod(F.xxhash64("key"), F.col("_room")).cast("int").alias("_block"))
-    links = cut(with_texts(met).groupBy("_g", "_block").applyInArrow(search, "a long, b long"))
+    links = cut(texts.join(met, "key").groupBy("_g", "_block").applyInArrow(search, "a long, b long"))
 
     # What is not in the largest component of its group is open and meets every block.
     whole = cut(_labels(members, found.unionByName(links)))
@@ -425,7 +425,7 @@ def _between_blocks(members: DataFrame, found: DataFrame, with_texts, search, se
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = open_sets.join(shares, "root").select("key", "root", F.pmod(F.xxhash64("key"), F.col("_shares")).cast("int").alias("_share"), each("_blocks").alias("_block"), F.lit(True).alias("_open"))
     home = members.join(shares, "root").select("key", "root", "_block", each("_shares").alias("_share"), F.lit(False).alias("_open"))
-    placed = with_texts(home.unionByName(asking).withColumn("_g", F.col("root")))
+    placed = texts.join(home.unionByName(asking).withColumn("_g", F.col("root")), "key")
     return links.unionByName(cut(placed.groupBy("_g", "_share", "_block").applyInArrow(search_open, "a long, b long")))
 
 
@@ -463,15 +463,14 @@ def join(documents: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] =
     members = cut(members.join(sized, "root").select("key", "root", "n", "_blocks", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int").alias("_block")))
     large = F.col("_blocks") > 1
 
-    def with_texts(chosen: DataFrame) -> DataFrame:
-        return documents.select("text", row_key().alias("key")).join(chosen.hint("shuffle_merge"), "key").dropDuplicates(["key", *[c for c in chosen.columns if c.startswith("_")]])
-
-    placed = with_texts(members.select("key", "root", "_block", F.when(large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(packs))).alias("_g"), large.alias("_large")))
+    # The texts of members are looked up once and kept; every later round deals these only.
+    texts = cut(documents.select("text", row_key().alias("key")).join(members.hint("shuffle_merge"), "key").dropDuplicates(["key"]))
+    placed = texts.select("key", "root", "text", "_block", F.when(large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(packs))).alias("_g"), large.alias("_large"))
     search = _links_in_block(size, num, den)
     found = cut(placed.groupBy("_large", "_g", "_block").applyInArrow(search, "a long, b long"))
     many = members.filter(large)
     if not many.isEmpty():
-        found = found.unionByName(_between_blocks(many, found, with_texts, search, _links_to_open(size, num, den)))
+        found = found.unionByName(_between_blocks(many, found, texts.filter(large).select("key", "text"), search, _links_to_open(size, num, den)))
 
     # Links between sets, then the smallest id of each component over all rows.
     roots = components(found)
