@@ -48,6 +48,7 @@ RANGE_BYTES = 16 << 20  # text whose signatures meet in one range
 BLOCK_SHINGLES = 300_000  # a block of a group holds about so many, and so many members
 BLOCK_MEMBERS = 1024
 CLASS_RATIO = 1.3
+CROWD = 4096  # members in short lists from which they are merged as arrays
 RUN = 3  # shingles of a run
 PARTS_FROM = 0.9  # thresholds below sign by runs: parts would have so few members that many are empty, and empty ones agree in any two sets
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -310,8 +311,15 @@ class InvertedIndex:
         aside = min(len(counts), least - 1, int(least / (0.05 * math.log2(max(2, counts.max())) + 1)))
         order = np.argsort(counts, kind="stable")
         short, long = order[: len(counts) - aside], order[len(counts) - aside:]
-        may, have = merge_skip([self.members[starts[i]: starts[i] + counts[i]].tolist() for i in short], least - aside)
-        may, have = np.array(may, np.int64), np.array(have, np.int64)
+        lists = [self.members[starts[i]: starts[i] + counts[i]] for i in short]
+        if counts[short].sum() > CROWD:
+            # Near copies stand in nearly all lists and nothing can be skipped: a merge sort of the sorted runs, counted.
+            merged = np.sort(np.concatenate(lists), kind="stable")
+            first = np.flatnonzero(np.diff(merged, prepend=-1))
+            have = np.diff(np.append(first, len(merged)))
+            may, have = merged[first[have >= least - aside]], have[have >= least - aside]
+        else:
+            may, have = (np.array(x, np.int64) for x in merge_skip([part.tolist() for part in lists], least - aside))
         sizes = self.sizes[may]
         fit = (den * sizes >= num * n) & (den * n >= num * sizes)
         may, have = may[fit], have[fit]
