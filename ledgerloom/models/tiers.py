@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..evaluation.curves import auc_roc, average_precision, curve
 from ..evaluation.metrics import confusion, confusion_metrics
 from ..operators.graph import neighbor_mean
+from ..operators.hops import subgraph_pool_features, subgraphs
 from ..operators.patterns import PATTERN_COLUMNS
 from ..operators.skew import ROWS_PER_TASK, hot_key_join
 
@@ -114,6 +115,32 @@ def edge_score_from_nodes(edges: DataFrame, node_scores: DataFrame, name: str =
     return joined.withColumn(name, F.greatest(F.coalesce("_s", unknown), F.coalesce("_d", unknown))).drop("_s", "_d")
 
 
+POOLED = ["in_degree", "out_degree", "total_sent", "total_received"]
+
+
+def pooled_subgraphs(edges: DataFrame, features: DataFrame, seeds: DataFrame, columns: list[str] = POOLED, limit: int | None = None) -> tuple[DataFrame, list[str]]:
+    """Pooled features of each seed's two-hop subgraph, ``node_id`` being the seed, and the names of the inputs.
+
+    Seeds whose subgraph is too small give no row.
+    """
+    nodes, inner = subgraphs(edges, seeds, limit=limit)
+    pooled = subgraph_pool_features(nodes, inner, features, columns)
+    return pooled.withColumnRenamed("seed", "node_id").fillna(0.0), [c for c in pooled.columns if c != "seed"]
+
+
+def seed_score(edges: DataFrame, seed_scores: DataFrame, name: str = "tier3_score") -> DataFrame:
+    """Score of the sender's subgraph; 0 where the sender has none."""
+    scores = seed_scores.select(F.col("node_id").alias("src"), F.col("score").alias(name))
+    return edges.join(scores, "src", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+
+
+def ring_members(edges: DataFrame, seed_scores: DataFrame, t3: float = 0.5, limit: int | None = None) -> DataFrame:
+    """``(seed, member, score)``: the nodes of the two-hop subgraph of every seed that scores as a ring."""
+    rings = seed_scores.filter(F.col("score") >= t3).select(F.col("node_id").alias("seed"), "score")
+    nodes, _ = subgraphs(edges, rings.select(F.col("seed").alias("node_id")), limit=limit)
+    return nodes.join(rings, "seed").select("seed", F.col("node_id").alias("member"), "score")
+
+
 def decide(scored: DataFrame, t1: float = 0.5, t2: float = 0.5, t3: float = 0.5) -> DataFrame:
     """Outcome, confidence and tier reached from the three scores."""
     s1, s2, s3 = F.col("tier1_score"), F.col("tier2_score"), F.col("tier3_score")
@@ -129,17 +156,14 @@ def cascade(tier1: DataFrame, node_scores: DataFrame, seed_scores, t1: float = 0
     """Run edges through the tiers, computing a tier only for rows that reach it.
 
     ``tier1`` holds ``tier1_score``. ``seed_scores(seeds)`` returns ``(node_id, score)``
-    for the distinct destination nodes of rows that reach tier 3.
+    for the distinct senders of rows that reach tier 3.
     """
     none = F.lit(None).cast("double")
     safe = tier1.filter(F.col("tier1_score") < t1).withColumns({"tier2_score": none, "tier3_score": none})
     second = edge_score_from_nodes(tier1.filter(F.col("tier1_score") >= t1), node_scores)
     suspicious = second.filter(F.col("tier2_score") < t2).withColumn("tier3_score", none)
     third = second.filter(F.col("tier2_score") >= t2)
-    scores = seed_scores(third.select(F.col("dst").alias("node_id")).distinct())
-    last = third.join(
-        scores.select(F.col("node_id").alias("dst"), F.col("score").alias("tier3_score")), "dst", "left"
-    ).withColumn("tier3_score", F.coalesce("tier3_score", F.lit(0.0)))
+    last = seed_score(third, seed_scores(third.select(F.col("src").alias("node_id")).distinct()))
     return decide(reduce(DataFrame.unionByName, [safe, suspicious, last]), t1, t2, t3)
 
 

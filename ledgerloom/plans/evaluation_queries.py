@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..evaluation import curves, metrics
 from ..models import tiers
-from ..operators import features, graph, hops, patterns, rings, sequence
+from ..operators import features, graph, patterns, rings, sequence
 from . import views as V
 from .graph_queries import _rings
 from .registry import query
@@ -309,68 +311,122 @@ def train_tier1(spark, d):
     """Boosted trees on the first 60 % of edges by time, evaluated on the rest."""
     columns = tiers.vector_columns(True)
     rows = sequence.warmup_split(_training_rows(spark, d))
-    model = tiers.train_boosted(rows.filter("phase = 'train'"), columns, rounds=5, depth=3)
+    model = tiers.train_boosted(rows.filter("phase = 'train'"), columns)
     return tiers.evaluate(tiers.score(model, rows.filter("phase = 'eval'"), columns))
 
 
-def _node_scores(spark, d):
+def _fold(seed: int = 1):
+    """Six tenths of the nodes, by hash, are for fitting."""
+    return F.pmod(F.xxhash64("node_id", F.lit(seed)), F.lit(10)) < 6
+
+
+def _node_rows(spark, d):
     e = V.circles(spark, d).withColumn("edge_type", F.lit("tx"))
     f = tiers.two_hop_features(e, graph.node_features(e))
-    labelled = f.join(V.flow_labels(spark, d), "node_id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    return f.join(V.flow_labels(spark, d), "node_id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
+
+
+def _node_scores(rows, seed: int = 1):
     columns = tiers.two_hop_columns()
-    return tiers.score(tiers.train_logistic(labelled, columns), labelled, columns).select("node_id", "score", "label")
+    model = tiers.train_logistic(rows.filter(_fold(seed)), columns)
+    return tiers.score(model, rows.withColumn("fitted", _fold(seed)), columns).select("node_id", "score", "label", "fitted")
 
 
 @query("node_scorer")
 def node_scorer(spark, d):
-    """Two-hop means and a logistic model."""
-    return _node_scores(spark, d)
+    """Two-hop means and a logistic model, fitted on six tenths of the nodes."""
+    return _node_scores(_node_rows(spark, d))
 
 
 def _subgraph_scores(spark, d, seeds):
-    """Pooled two-hop subgraph features of each seed, scored by boosted trees."""
+    """Pooled two-hop subgraph features of each seed, scored by boosted trees fitted on six tenths of all senders."""
     from ..session import cut
 
     e = V.circles(spark, d).withColumn("edge_type", F.lit("tx"))
-    nodes, inner = hops.subgraphs(e, seeds)
-    columns = ["in_degree", "out_degree", "total_sent", "total_received"]
-    pooled = hops.subgraph_pool_features(nodes, inner, graph.node_features(e), columns)
-    inputs = [c for c in pooled.columns if c != "seed"]
-    rows = cut(pooled.withColumnRenamed("seed", "node_id").fillna(0.0).join(
-        V.flow_labels(spark, d), "node_id", "left").withColumn("label", F.coalesce("label", F.lit(0))))
-    model = tiers.train_boosted(rows, inputs, rounds=3, depth=3)
-    return tiers.score(model, rows, inputs).select("node_id", "score")
+    every = e.select(F.col("src").alias("node_id")).distinct()
+    pooled, inputs = tiers.pooled_subgraphs(e, graph.node_features(e), every)
+    rows = cut(pooled.join(V.flow_labels(spark, d), "node_id", "left").withColumn("label", F.coalesce("label", F.lit(0))))
+    model = tiers.train_boosted(rows.filter(_fold()), inputs)
+    return tiers.score(model, rows.join(seeds, "node_id", "left_semi"), inputs).select("node_id", "score")
 
 
 @query("subgraph_scorer")
 def subgraph_scorer(spark, d):
-    seeds = V.circles(spark, d).select(F.col("dst").alias("node_id")).distinct()
+    seeds = V.circles(spark, d).select(F.col("src").alias("node_id")).distinct()
     return _subgraph_scores(spark, d, seeds)
 
 
+@query("ring_members")
+def ring_members(spark, d):
+    """The members of every subgraph that the fitted tier 3 takes for a ring."""
+    from ..session import cut
+
+    e = V.circles(spark, d).withColumn("edge_type", F.lit("tx"))
+    scores = cut(_subgraph_scores(spark, d, e.select(F.col("src").alias("node_id")).distinct()))
+    return tiers.ring_members(e, scores)
+
+
+_NEAR = """
+    , link AS (SELECT DISTINCT src, dst FROM circles),
+    seeds AS (SELECT DISTINCT src AS seed FROM circles),
+    near AS (SELECT seed, seed AS node FROM seeds UNION SELECT s.seed, a.src FROM seeds s JOIN link a ON a.dst = s.seed
+        UNION SELECT s.seed, b.src FROM seeds s JOIN link a ON a.dst = s.seed JOIN link b ON b.dst = a.src),
+    inner_edges AS (SELECT n.seed, count(*) AS m FROM near n JOIN circles c ON c.src = n.node JOIN near o ON o.seed = n.seed AND o.node = c.dst GROUP BY n.seed),
+    big AS (SELECT seed FROM near GROUP BY seed HAVING count(*) >= 3 INTERSECT SELECT seed FROM inner_edges WHERE m >= 2)"""
+
+
+@query("ring_member_rows", views="circles", sql=_NEAR + """
+    SELECT n.seed, n.node AS member, (n.seed * 29 + 7) % 100 / CAST(100 AS DOUBLE) AS score FROM near n JOIN big USING (seed) WHERE (n.seed * 29 + 7) % 100 >= 50""")
+def ring_member_rows(spark, d):
+    """Ring members under given seed scores: every sender's two-hop node set where its score says so."""
+    e = V.circles(spark, d)
+    scores = e.select(F.col("src").alias("node_id")).distinct().withColumn("score", (F.col("node_id") * 29 + 7) % 100 / F.lit(100.0))
+    return tiers.ring_members(e, scores)
+
+
+@query("cascade_rules", views="circles", sql="""
+    , s AS (SELECT edge_id, (edge_id * 37) % 100 / CAST(100 AS DOUBLE) AS s1, greatest(CASE WHEN src % 7 = 0 THEN 50 ELSE src * 13 % 100 END, CASE WHEN dst % 7 = 0 THEN 50 ELSE dst * 13 % 100 END) / CAST(100 AS DOUBLE) AS s2,
+        CASE WHEN src % 5 = 0 THEN 0 ELSE (src * 29 + 7) % 100 END / CAST(100 AS DOUBLE) AS s3 FROM circles)
+    SELECT edge_id, CASE WHEN s1 < 0.3 THEN 'SAFE' WHEN s2 < 0.4 THEN 'SUSPICIOUS' WHEN s3 >= 0.5 THEN 'FRAUD_RING' ELSE 'LIKELY_FRAUD' END AS result,
+        CASE WHEN s1 < 0.3 THEN 1 - s1 WHEN s2 < 0.4 THEN s2 ELSE s3 END AS confidence, CAST(CASE WHEN s1 < 0.3 THEN 1 WHEN s2 < 0.4 THEN 2 ELSE 3 END AS INTEGER) AS tier_reached FROM s""")
+def cascade_rules(spark, d):
+    """The cascade on given scores; nodes in steps of seven are unknown to tier 2, senders in steps of five to tier 3."""
+    e = V.circles(spark, d)
+    ends = e.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    nodes = ends.filter("node_id % 7 <> 0").withColumn("score", F.col("node_id") * 13 % 100 / F.lit(100.0))
+    rings = lambda seeds: seeds.filter("node_id % 5 <> 0").withColumn("score", (F.col("node_id") * 29 + 7) % 100 / F.lit(100.0))
+    scored = e.withColumn("tier1_score", F.col("edge_id") * 37 % 100 / F.lit(100.0))
+    return tiers.cascade(scored, nodes, rings, 0.3, 0.4, 0.5).select("edge_id", "result", "confidence", "tier_reached")
+
+
 @query("cascade")
 def cascade(spark, d):
-    """All three tiers, each on the edges that reach it."""
+    """All three tiers, each on the edges that reach it; tier 1 is fitted on the first 60 % of edges, tiers 2 and 3 on six tenths of the nodes."""
     from ..session import cut
 
     columns = tiers.vector_columns(True)
-    rows = _training_rows(spark, d)
-    model = tiers.train_boosted(rows, columns, rounds=3, depth=3)
-    scored = tiers.score(model, rows, columns, "tier1_score").select("edge_id", "src", "dst", "t", "label", "tier1_score")
-    out = tiers.cascade(cut(scored), cut(_node_scores(spark, d).drop("label")), lambda seeds: _subgraph_scores(spark, d, seeds))
-    return out.select("edge_id", "label", "result", "confidence", "tier_reached")
+    rows = cut(sequence.warmup_split(_training_rows(spark, d)))
+    model = tiers.train_boosted(rows.filter("phase = 'train'"), columns)
+    scored = tiers.score(model, rows, columns, "tier1_score").select("edge_id", "src", "dst", "t", "label", "phase", "tier1_score")
+    nodes = _node_scores(_node_rows(spark, d)).select("node_id", "score")
+    out = tiers.cascade(cut(scored), cut(nodes), lambda seeds: _subgraph_scores(spark, d, seeds))
+    return out.select("edge_id", "label", "phase", "result", "confidence", "tier_reached")
 
 
 @query("cross_period")
 def cross_period(spark, d):
-    return tiers.cross_period(_training_rows(spark, d), tiers.vector_columns(True), ["1-URGENT", "2-HIGH"], "3-MEDIUM", rounds=3)
+    """Every period but the last trains, the last one tests; then each of the others tests what the first taught."""
+    rows = _training_rows(spark, d)
+    periods = [r[0] for r in rows.select("period").distinct().orderBy("period").collect()]
+    columns = tiers.vector_columns(True)
+    runs = [(periods[:-1], periods[-1]), *[([periods[0]], p) for p in periods[1:]]]
+    return reduce(DataFrame.unionByName, [tiers.cross_period(rows, columns, train, test) for train, test in runs])
 
 
 @query("repeat_runs")
 def repeat_runs(spark, d):
-    """Three seeded splits of the node scores, one row of metrics each."""
-    from ..operators.sampling import split_70_15_15
+    """Three runs, each with its own seeded split of the nodes and its own fit, one row of metrics each."""
     from ..session import cut
 
-    scores = cut(_node_scores(spark, d))
-    return tiers.repeat_runs(lambda s: tiers.evaluate(split_70_15_15(scores, "node_id", s, "label").filter("part = 'test'")), [1, 2, 3])
+    rows = cut(_node_rows(spark, d))
+    return tiers.repeat_runs(lambda s: tiers.evaluate(_node_scores(rows, s).filter("NOT fitted")), [1, 2, 3])

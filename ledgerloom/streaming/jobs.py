@@ -39,6 +39,12 @@ def parquet_stream(spark: SparkSession, folder: str, schema, pattern: str = "*",
     return reader.parquet(folder)
 
 
+def landed(rows: DataFrame, folder: str) -> str:
+    """Rows as files of a folder that a stream can read."""
+    rows.write.mode("append").parquet(folder)
+    return folder
+
+
 def run_available(writer, checkpoint: str) -> StreamingQuery:
     """Process everything that is there, then stop. Errors of the stream are raised."""
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -81,6 +87,14 @@ def late_rows(query: StreamingQuery) -> int:
     )
 
 
+def remove_folders(spark: SparkSession, pattern: str) -> None:
+    """Remove the folders that a glob names, through the file system they are on."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.globStatus(path) or []:
+        files.delete(found.getPath(), True)
+
+
 class Position:
     """Last exported block, kept as one tiny row per batch and written after the export."""
 
@@ -89,15 +103,18 @@ class Position:
 
     def _rows(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema("last bigint").json(self.path)
+            return self.spark.read.schema("last bigint, b bigint").option("basePath", self.path).json(self.path)
         except Exception as error:  # noqa: BLE001
             if "PATH_NOT_FOUND" in str(error):
                 return None
             raise
 
-    def get(self) -> int | None:
+    def get(self, before: int | None = None) -> int | None:
+        """Newest position, or the one that batch ``before`` started from, whether or not it was stored since."""
         rows = self._rows()
-        return None if rows is None else rows.agg(F.max("last")).first()[0]
+        if rows is None:
+            return None
+        return (rows if before is None else rows.filter(F.col("b") < before)).agg(F.max("last")).first()[0]
 
     def set(self, last: int, batch_id: int) -> None:
         self.spark.range(1).select(F.lit(last).cast("bigint").alias("last")).write.mode("overwrite").json(f"{self.path}/b={batch_id}")

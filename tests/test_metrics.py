@@ -73,11 +73,11 @@ def test_cascade_only_scores_escalated_rows(spark):
 
     def third(seeds):
         asked.extend(sorted(r[0] for r in seeds.collect()))
-        return seeds.select("node_id", F.lit(0.7).alias("score")).filter("node_id = 4")
+        return seeds.select("node_id", F.lit(0.7).alias("score")).filter("node_id = 3")
 
     got = {r.edge_id: (r.result, round(r.confidence, 6), r.tier_reached) for r in tiers.cascade(rows, nodes, third).collect()}
     assert got == {0: ("SAFE", 0.9, 1), 1: ("SUSPICIOUS", 0.3, 2), 2: ("FRAUD_RING", 0.7, 3), 3: ("LIKELY_FRAUD", 0.0, 3)}
-    assert asked == [4, 6]
+    assert asked == [3, 5]
 
 
 def test_boosted_trees_learn_a_rare_class(spark):

@@ -46,6 +46,71 @@ def test_online_patterns_do_not_depend_on_batches(spark, tmp_path):
     assert results[0] == results[1] and sum(r[3] for r in results[0]) > 0
 
 
+def test_window_counters_against_recounting():
+    """Each edge is added and leaves once; the counters equal a recount of the gap at every edge."""
+    import random
+
+    from ledgerloom.streaming.recent_edges import GapWindow
+
+    rng = random.Random(6)
+    for _ in range(60):
+        rows, t = [], 0
+        for _ in range(rng.randint(1, 120)):
+            t += rng.choice([0, 0, 1, 5, 40])
+            rows.append((t, rng.randint(0, 5), rng.randint(0, 1)))
+        window = GapWindow(100, 20)
+        for i, (now, other, out) in enumerate(rows):
+            window.add(now, other, out)
+            near = [r for r in rows[: i + 1] if r[0] >= now - 100]
+            cycles = sum(a[2] == 1 and b[2] == 0 and a[1] == b[1] and a[0] < b[0] for a in near for b in near)
+            targets, sources = {r[1] for r in near if r[2]}, {r[1] for r in near if not r[2]}
+            burst = sum(r[0] >= now - 20 for r in near)
+            assert window.features(4, (2, 4)) == (
+                cycles, len(targets) >= 2, len(targets) >= 4, len(sources) >= 2, len(sources) >= 4, burst >= 4)
+        assert len(window.rows) == sum(r[0] >= rows[-1][0] - 100 for r in rows)
+
+
+def test_state_of_idle_nodes_goes(spark, tmp_path):
+    """Node 0 and 1 are seen once; when the watermark is an hour past them nothing of them is kept."""
+    folder, base = str(tmp_path / "in"), str(tmp_path / "run")
+    for part in ([(0, 0, 1, 1000, 1.0), (1, 2, 3, 1000, 1.0)], [(2, 2, 3, 9000, 1.0)], [(3, 2, 3, 20000, 1.0)], [(4, 2, 3, 20010, 1.0)]):
+        spark.createDataFrame(part, EDGES).coalesce(1).write.mode("append").parquet(folder)
+    with jobs.rocksdb_state(spark):
+        query = jobs.append_to_parquet(SG.online_patterns(source(spark, folder)), base)
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    # Two nodes' lists and timers are left; four nodes had some before.
+    assert rows[-1] < max(rows)
+    state = spark.read.format("statestore").option("stateVarName", "recent").load(f"{base}/ckpt")
+    assert {r.key.node for r in state.select("key").collect()} == {2, 3}
+
+
+def rules(t1=0.4):
+    flag = lambda c: (F.col(c) > 0).cast("double")
+    return (lambda df: df.withColumn("tier1_score", (flag("src_cycle_2") + flag("dst_cycle_2") + flag("src_fan_out_3") + flag("dst_fan_in_3")) / 4),
+            lambda df: df.withColumn("tier2_score", F.col("src") % 4 / 4.0), lambda df: df.withColumn("tier3_score", F.col("dst") % 3 / 3.0))
+
+
+@pytest.mark.parametrize("parts", [1, 3, 10])
+def test_cascade_does_not_depend_on_batches(spark, tmp_path, parts):
+    folder, base = str(tmp_path / "in"), str(tmp_path / "run")
+    batch = edge_files(spark, folder, parts)
+    with jobs.rocksdb_state(spark):
+        SG.cascade_stream(source(spark, folder), base, *rules(), 0.5, 0.5, 0.5)
+    got = {r.edge_id: (r.result, r.tier_reached) for r in jobs.read_versions(spark, base, table="detections").collect()}
+    edges = [tuple(r) for r in batch.collect()]
+    want = {}
+    for edge_id, src, dst, t, _ in edges:
+        past = [e for e in edges if t - 3600 <= e[3] and (e[3], e[0]) <= (t, edge_id)]
+
+        def cycles(node):
+            return any(a[1] == node and b[2] == node and a[2] == b[1] and a[3] < b[3] for a in past for b in past)
+
+        s1 = (cycles(src) + cycles(dst) + (len({e[2] for e in past if e[1] == src}) >= 3) + (len({e[1] for e in past if e[2] == dst}) >= 3)) / 4
+        s2, s3 = src % 4 / 4, dst % 3 / 3
+        want[edge_id] = ("SAFE", 1) if s1 < 0.5 else ("SUSPICIOUS", 2) if s2 < 0.5 else ("FRAUD_RING" if s3 >= 0.5 else "LIKELY_FRAUD", 3)
+    assert got == want and len(set(want.values())) == 4
+
+
 def test_late_rows_take_their_place_or_go(spark, tmp_path):
     folder, base = str(tmp_path / "in"), str(tmp_path / "run")
     later = [(10 + i, 0, 10 + i, 5000 + i, 1.0) for i in range(4)]
@@ -107,6 +172,47 @@ def test_block_export_resumes_with_lag(spark, tmp_path):
         run(start_block=1)
 
 
+def test_late_and_changed_receipts_bring_their_block_again(spark, tmp_path):
+    folder, base = str(tmp_path / "in"), str(tmp_path / "run")
+
+    def land_rows(*rows):
+        spark.createDataFrame([(k, n, json.dumps(body)) for k, n, body in rows], SB.LANDED).coalesce(1).write.mode("append").parquet(folder)
+
+    def sink(items, batch_id):
+        jobs.version_sink(base, "transaction")(items["transaction"], batch_id)
+
+    def run():
+        SB.export_blocks(jobs.parquet_stream(spark, folder, SB.LANDED, "*.parquet", 1), base, sink, ["transaction"], hold=True, stage_blocks=2, settle=4)
+
+    def exported():
+        rows = jobs.read_versions(spark, base, table="transaction")
+        got = {r.block_number: r.receipt_status for r in SB.current(rows).collect()}
+        return got, sorted((r.block_number, r.revision) for r in rows.collect())
+
+    land_rows(*[("block", n, block(n)) for n in (1, 2, 3, 4)], *[("receipt", n, receipt(n)) for n in (1, 3, 4)])
+    run()
+    assert exported() == ({1: 1, 3: 1, 4: 1}, [(1, 0), (3, 0), (4, 0)])
+    # The missing receipt comes, and another version of the first one.
+    land_rows(("receipt", 2, receipt(2)), ("receipt", 1, {**receipt(1), "status": "0x0"}))
+    run()
+    assert exported() == ({1: 0, 2: 1, 3: 1, 4: 1}, [(1, 0), (1, 1), (2, 0), (3, 0), (4, 0)])
+    # The same again is no news, and a batch that is repeated changes nothing.
+    land_rows(("receipt", 2, receipt(2)), ("block", 10, block(10)), ("receipt", 10, receipt(10)))
+    run()
+    before = exported()
+    export = SB.BlockExport(spark, base, sink, ["transaction"], hold=True, stage_blocks=2, settle=4)
+    rows = [("receipt", 2, json.dumps(receipt(2))), ("block", 10, json.dumps(block(10))), ("receipt", 10, json.dumps(receipt(10)))]
+    export.handle(spark.createDataFrame(rows, SB.LANDED), 2)
+    assert exported() == before and before[0][10] == 1 and len(before[1]) == 6
+    # Blocks four behind the position are settled: their staging is gone, and what still comes is set aside.
+    parts = {p.name for p in (tmp_path / "run" / "staging").glob("_v=*/part=*")}
+    assert "part=0" not in parts and "part=5" in parts
+    land_rows(("receipt", 1, {**receipt(1), "status": "0x1"}))
+    run()
+    assert exported() == before
+    assert [r.block_number for r in spark.read.parquet(f"{base}/too_late").collect()] == [1]
+
+
 def test_items_without_their_receipt_or_parent_raise(spark):
     def landed(*rows):
         return spark.createDataFrame([(k, n, json.dumps(body)) for k, n, body in rows], SB.LANDED)
