@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom import session
 
 __all__ = ["SLICE_BYTES", "cut", "row_key", "held_out", "read", "text_bytes", "row_slices", "Words", "word_hashes",
-           "window_hashes", "lower_table", "SPACE_SPLIT", "ALNUM", "mix64", "training_rows", "planes", "unplanes", "mapped"]
+           "window_hashes", "lower_table", "SPACE_SPLIT", "ALNUM", "mix64", "training_rows", "one_each", "planes", "unplanes", "mapped"]
 
 # Texts of one numpy pass; a single longer text is a pass of its own.
 SLICE_BYTES = 4 << 20
@@ -180,11 +180,34 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+# All texts that one model is fitted on, together.
+TRAINING_BYTES = 64 << 20
+
+
+def one_each(rows: DataFrame, keys: list[str], budget: int = TRAINING_BYTES) -> list:
+    """Rows of a few keys with one text each, however many rows repeat a key, and ``budget`` bytes of text in all.
+
+    Of a key the text of least hash counts. The sizes come first, one narrow row per key; then the texts
+    that fit the budget in the order of their hashes. Whether a text is taken depends on the table only.
+    """
+    rows = rows.withColumns({"_h": F.xxhash64(F.coalesce("text", F.lit(""))), "_b": F.coalesce(F.octet_length("text"), F.lit(0))})
+    sizes = rows.groupBy(*keys).agg(F.min(F.struct("_h", "_b")).alias("_m")).select(*keys, "_m.*").collect()
+    taken, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r["_h"], *[(r[k] is not None, r[k]) for k in keys])):
+        if total + r["_b"] <= budget:
+            taken.append(tuple(r[k] for k in keys) + (r["_h"],))
+            total += r["_b"]
+    kinds = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys]
+    small = rows.sparkSession.createDataFrame(taken, ", ".join([*kinds, "_h long"]))
+    return rows.join(F.broadcast(small), [*keys, "_h"]).groupBy(*keys).agg(F.first("text").alias("text")).collect()
+
+
 def training_rows(documents: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, per_class: int, others: int = 1) -> list[tuple[str, int]]:
     """At most ``per_class`` labelled texts of class 1 and ``others`` times as many of class 0, by hash order of
     the id, outside the held-out fold.
 
-    The bound is a parameter of the model. Only the chosen ids (a bounded number) reach the driver and are broadcast to the scan of the texts.
+    The bounds, on ids here and on bytes in ``one_each``, are parameters of the model. Only the chosen ids (a bounded
+    number) reach the driver and are broadcast to the scan of the texts. An id that stands in many rows gives one text.
     """
     usable = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold)).select(
         "doc_id", F.col(label).cast("int").alias("y")).distinct()
@@ -194,7 +217,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, folds: in
         chosen = part if chosen is None else chosen.unionByName(part)
     spark = documents.sparkSession
     small = spark.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, y int")
-    rows = documents.select("doc_id", "text").join(F.broadcast(small), "doc_id").select("doc_id", "text", "y").collect()
+    rows = one_each(documents.select("doc_id", "text").join(F.broadcast(small), "doc_id"), ["doc_id", "y"])
     rows.sort(key=lambda r: (r.doc_id, r.y, r.text or ""))
     return [(r.text or "", r.y) for r in rows]
 

@@ -3,7 +3,7 @@
 Byte trigrams of the lower-cased text are hashed to ``DIMENSIONS``; counts are damped,
 weighted by inverse document frequency over all training documents and normalised. Every
 language has up to ``CENTROIDS`` centroids, found by spherical k-means on at most
-``PER_LANGUAGE`` of its documents (hash order). The nearest centroid by cosine decides. A text
+``PER_LANGUAGE`` of its ids (hash order, one text each, ``TRAINING_BYTES`` in all). The nearest centroid by cosine decides. A text
 farther from every centroid than nearly all of the sample of its language is marked as
 rejected; it keeps the nearest language.
 
@@ -17,9 +17,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import held_out, lower_table, mapped, read, row_slices, text_bytes
+from ledgerloom.llm.common import held_out, lower_table, mapped, one_each, read, row_slices, text_bytes
 
 DIMENSIONS, CENTROIDS, PER_LANGUAGE = 4096, 4, 300
 KEPT = 0.999  # share of a language's sample inside its distance
@@ -106,20 +107,19 @@ class Languages:
 
 def fit(documents: DataFrame, per_language: int = PER_LANGUAGE, folds: int = FOLDS, fold: int = FOLD) -> Languages | None:
     known = documents.filter(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), folds, fold)).select("doc_id", "text", "lang")
-    names = [r.lang for r in known.select("lang").distinct().collect()]
-    if not names:
+    # The first ids of each language in one pass: every partition keeps its own first ones before rows are dealt out.
+    rank = F.dense_rank().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    first = known.select("lang", "doc_id").withColumn("_r", rank).filter(F.col("_r") <= per_language)
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")  # all null ids count as one
+    chosen = [tuple(r) for r in first.select("lang", named).distinct().collect()]
+    if not chosen:
         return None
-    sample = None
-    for name in names:
-        part = known.filter(F.col("lang") == name).select("lang", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        sample = part if sample is None else sample.unionByName(part)
-    chosen = documents.sparkSession.createDataFrame([tuple(r) for r in sample.distinct().collect()], "lang string, doc_id long")
+    small = documents.sparkSession.createDataFrame(chosen, "lang string, _id string")
     texts: dict[str, list[str]] = {}
-    for r in sorted(known.join(F.broadcast(chosen), known["doc_id"].eqNullSafe(chosen["doc_id"]) & (known["lang"] == chosen["lang"])).select(
-            known["doc_id"].alias("d"), known["lang"].alias("l"), "text").collect(), key=lambda r: (r.l, r.d is not None, r.d or 0, r.text)):
-        texts.setdefault(r.l, []).append(r.text)
+    for r in sorted(one_each(known.select("lang", named, "text").join(F.broadcast(small), ["lang", "_id"]), ["lang", "_id"]), key=lambda r: (r.lang, r._id)):
+        texts.setdefault(r.lang, []).append(r.text)
     n, df = _frequencies(known)
-    return Languages(np.log((n + 1) / (df + 1)) + 0.1, {k: v[:per_language] for k, v in texts.items()})
+    return Languages(np.log((n + 1) / (df + 1)) + 0.1, texts)
 
 
 def identified(documents: DataFrame, languages: Languages | None) -> DataFrame:

@@ -79,7 +79,16 @@ def blocks(page: str) -> list[Block]:
     last_end: dict[str, int] = {}
     hidden = None  # place in the stack of the outermost element that is left out
     at = 0
+    last_close = page.rfind(">")
     while at < len(page):
+        if at > last_close:
+            # No tag can end any more: plain text up to the start of a comment, in one piece.
+            piece = page[at:].split("<!--", 1)[0]
+            if hidden is None and piece:
+                pieces.append(piece)
+                if any(t == "a" for t, _ in stack):
+                    link[0] += len(piece)
+            break
         m = _TOKEN.match(page, at)
         at = m.end()
         tag = m.group(2) or m.group(5)
@@ -276,12 +285,15 @@ SIDE_NAMES = ("nav navbar menu header site-header footer site-footer sidebar sid
 
 
 def weak_label(block: Block) -> float | None:
-    """1 in an article or main, 0 in other containers, by the closest one; None where none says anything."""
+    """1 in an article or main, 0 in other containers, by the closest one; None where none says anything.
+
+    What an element is counts before its class names: ``<article class="has-sidebar">`` is an article.
+    """
     for tag, names in reversed(block.path):
-        if tag in ASIDE or any(n in SIDE_NAMES for n in names):
-            return 0.0
         if tag in MAIN:
             return 1.0
+        if tag in ASIDE or any(n in SIDE_NAMES for n in names):
+            return 0.0
     return None
 
 
