@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import hot_key_join, prefix_sums, ranged
+
 # Latency budgets in milliseconds, size classes and effect limits.
 LATENCY_BUDGETS = [5, 10, 25, 50, 100, 250, 500]
 TIER_BUDGETS = [0.01, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0]
@@ -65,15 +67,40 @@ def tier_distribution(detections: DataFrame, by: list[str] | None = None) -> Dat
     })
 
 
+def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """Exact percentiles with linear interpolation per group, one column per entry of ``shares``.
+
+    Equal values are counted first, the distinct ones numbered in slices with sampled bounds, and of a group only the
+    rows at the wanted ranks are looked at, so no task sees a whole group. Null values do not count;
+    a group of nulls only gives no row. Null group keys are groups of their own.
+    """
+    by = by or []
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(key.alias("_k"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    slices = ranged(counts, F.col("_k"), F.col("_v"))
+    run = prefix_sums(slices, [F.col("_v")], {"_upto": "_n"}, {"slice": F.col("_range")}, ["_k"]).drop("_range")
+    totals = slices.groupBy("_k").agg(F.sum("_n").alias("_total"), F.count("*").alias("_rows"))
+    held = hot_key_join(run, totals, ["_k"], "_rows", ["_v"])
+    place = {name: (F.col("_total") - 1) * share for name, share in shares.items()}
+    at = lambda rank: F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank), F.col("_v")))
+    ends = held.groupBy("_k").agg(F.first("_total").alias("_total"), *[
+        at(end(p)).alias(f"_{side}_{name}") for name, p in place.items() for side, end in (("low", F.floor), ("high", F.ceil))])
+    low, high = lambda n: F.col(f"_low_{n}").cast("double"), lambda n: F.col(f"_high_{n}").cast("double")
+    return ends.select(*([f"_k.{c}" for c in by]), *[(low(n) + (high(n) - low(n)) * (p - F.floor(p))).alias(n) for n, p in place.items()])
+
+
 def latency_summary(rows: DataFrame, latency: str = "latency_ms", by: list[str] | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation, mean, population deviation, throughput."""
-    p = F.percentile(latency, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
     out = rows.groupBy(*(by or [])).agg(
-        F.count("*").alias("total_processed"), p.alias("_p"), F.avg(latency).alias("latency_mean"),
+        F.count("*").alias("total_processed"), F.avg(latency).alias("latency_mean"),
         F.stddev_pop(latency).alias("latency_std"),
         (F.count("*") / F.greatest(F.sum(latency) / 1000, F.lit(0.001))).alias("throughput_per_sec"))
-    return out.withColumns({
-        "latency_p50": F.col("_p")[0], "latency_p95": F.col("_p")[1], "latency_p99": F.col("_p")[2]}).drop("_p")
+    at = percentiles(rows, latency, {"latency_p50": 0.5, "latency_p95": 0.95, "latency_p99": 0.99}, by)
+    # Both sides have one row per group.
+    same = F.lit(True)
+    for c in by or []:
+        same = same & out[c].eqNullSafe(at[c])
+    return out.join(at, same, "left").select(*[out[c] for c in out.columns], "latency_p50", "latency_p95", "latency_p99")
 
 
 def size_bucket(n: Column) -> Column:

@@ -4,70 +4,44 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import schemas as S
+from ..functions import frames
 from ..functions.hexnum import hex_to_decimal, hex_to_long
 from ..functions.text import normalize_address
-from ..session import cut
 
 
 def flatten_call_frames(raw: DataFrame, body: str = "body") -> DataFrame:
     """Flatten geth-style nested frames, one block per input line.
 
-    Works down the trees level by level, all trees at once. Each level is parsed once
-    and kept, its children being the next level's input text, and the loop ends when no
-    frame has children. ``trace_address`` is the path of child positions, so ordering by
-    it gives depth-first order.
+    One pass: every line is parsed once and its trees are walked with a stack, which sends out flat
+    frames only; fields are converted by column expressions. ``trace_address`` is the path of
+    child positions, so ordering by it gives depth-first order.
     """
-    line = raw.select(F.from_json(body, S.RAW_GETH_LINE).alias("g"))
-    nodes = line.select(
-        F.col("g.block_number").alias("block_number"),
-        F.posexplode("g.transaction_traces").alias("transaction_index", "node"),
-    ).select(
-        "block_number",
-        F.col("transaction_index").cast("bigint").alias("transaction_index"),
-        F.array().cast("array<int>").alias("trace_address"),
-        F.coalesce(F.get_json_object("node", "$.result"), F.col("node")).alias("node"),
-    )
-    levels: list[DataFrame] = []
-    while True:
-        level = cut(_frame_columns(nodes.select(
-            "block_number", "transaction_index", "trace_address",
-            F.from_json("node", S.RAW_CALL_FRAME).alias("f"),
-        )))
-        levels.append(level.drop("calls"))
-        parents = level.filter("subtraces > 0")
-        if parents.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
-        nodes = parents.select(
-            "block_number", "transaction_index", "trace_address",
-            F.posexplode("calls").alias("child", "node"),
-        ).withColumn("trace_address", F.array_append("trace_address", F.col("child")))
-
-
-def _frame_columns(parsed: DataFrame) -> DataFrame:
-    kind = F.lower(F.col("f.type"))
+    # Sent by value, so workers need no installed package.
+    cloudpickle.register_pickle_by_value(frames)
+    f = raw.select(body).mapInArrow(frames.walk, frames.SCHEMA)
+    kind = F.lower(F.col("type"))
     is_call = kind.isin("call", "callcode", "delegatecall", "staticcall")
-    return parsed.select(
+    return f.select(
         "block_number",
         F.lit(None).cast("string").alias("transaction_hash"),
         "transaction_index",
-        normalize_address(F.col("f.from")).alias("from_address"),
-        normalize_address(F.col("f.to")).alias("to_address"),
-        hex_to_decimal(F.col("f.value")).alias("value"),
-        F.col("f.input").alias("input"),
-        F.col("f.output").alias("output"),
+        normalize_address(F.col("from")).alias("from_address"),
+        normalize_address(F.col("to")).alias("to_address"),
+        hex_to_decimal(F.col("value")).alias("value"),
+        "input",
+        "output",
         F.when(kind == "selfdestruct", F.lit("suicide")).when(is_call, F.lit("call")).otherwise(kind).alias("trace_type"),
         F.when(is_call, kind).alias("call_type"),
         F.lit(None).cast("string").alias("reward_type"),
-        hex_to_long(F.col("f.gas")).alias("gas"),
-        hex_to_long(F.col("f.gasUsed")).alias("gas_used"),
-        F.coalesce(F.size("f.calls"), F.lit(0)).cast("bigint").alias("subtraces"),
+        hex_to_long(F.col("gas")).alias("gas"),
+        hex_to_long(F.col("gasUsed")).alias("gas_used"),
+        "subtraces",
         "trace_address",
-        F.col("f.error").alias("error"),
-        F.col("f.calls").alias("calls"),
+        "error",
     )
 
 
@@ -116,9 +90,8 @@ def special_traces(allocation: DataFrame, kind: str) -> DataFrame:
 def with_special_traces(traces: DataFrame, *specials: DataFrame) -> DataFrame:
     """Put special traces ahead of the block's own and shift the latter's index."""
     extra = reduce(DataFrame.unionByName, specials)
-    # One row per special block: two in the chain's whole history.
     counts = extra.groupBy("block_number").agg(F.count("*").alias("_shift"))
-    shifted = traces.join(F.broadcast(counts), "block_number", "left").withColumn(
+    shifted = traces.join(counts, "block_number", "left").withColumn(
         "trace_index", F.col("trace_index") + F.coalesce("_shift", F.lit(0))
     ).drop("_shift")
     return extra.unionByName(shifted)

@@ -69,22 +69,42 @@ def anchors(sub_edges: DataFrame, nodes: DataFrame, k: int = ANCHORS) -> DataFra
     return ranked.filter(F.col("slot") < k).select("seed", F.col("node_id").alias("anchor"), "slot")
 
 
-def hop_distances(sub_edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """``(seed, anchor, node_id, dist)`` over undirected edges, all sources at once."""
-    links = sub_edges.select("seed", F.explode(F.array(
+def distance_table(sub_edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(seed, word, node_id, dists)`` over undirected edges; ``dists[b]`` is the distance to source ``32 * word + b``.
+
+    Bit-parallel breadth-first search: the sources of a seed (column ``slot``, from 0) are bits of one mask per node, so
+    a round sends one mask along an edge whatever the number of sources, joins the state once and
+    keeps one row per (seed, node). Bits that a node sees for the first time are the next round's front.
+    """
+    links = cut(sub_edges.select("seed", F.explode(F.array(
         F.struct(F.col("src").alias("node_id"), F.col("dst").alias("next")),
         F.struct(F.col("dst").alias("node_id"), F.col("src").alias("next")),
-    )).alias("s")).select("seed", "s.*").distinct()
-    links = cut(links)
-    reached = cut(sources.select("seed", "anchor", F.col("anchor").alias("node_id"), F.lit(0).alias("dist")))
-    frontier = reached
+    )).alias("s")).select("seed", "s.*").filter("node_id <> next").distinct())
+    word = F.floor(F.col("slot") / 32)
+    starts = sources.select("seed", word.alias("word"), F.col("anchor").alias("node_id"), F.expr("shiftleft(1L, CAST(slot % 32 AS INT))").alias("mask"))
+    at_start = starts.groupBy("seed", "word", "node_id").agg(F.bit_or("mask").alias("fresh"))
+    words = starts.select("seed", "word").distinct()
+    every = links.select("seed", "node_id").distinct().join(words, "seed").unionByName(at_start.select("seed", "node_id", "word")).distinct()
+    unreached = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.lit(None).cast("int"))
+    marked = lambda dist, old: F.transform(old, lambda x, i: F.when(F.getbit("fresh", i) == 1, F.lit(dist)).otherwise(x))
+    state = every.join(at_start, ["seed", "word", "node_id"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(0).cast("bigint")))
+    state = cut(state.select("seed", "word", "node_id", F.col("fresh").alias("seen"), "fresh", marked(0, unreached).alias("dists")))
     for dist in itertools.count(1):
-        step = frontier.join(links, ["seed", "node_id"]).select("seed", "anchor", F.col("next").alias("node_id")).distinct()
-        frontier = cut(step.join(reached, ["seed", "anchor", "node_id"], "left_anti").withColumn("dist", F.lit(dist)))
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
-    return reached
+        told = state.filter("fresh <> 0").join(links, ["seed", "node_id"]).groupBy("seed", "word", F.col("next").alias("node_id")).agg(F.bit_or("fresh").alias("_told"))
+        fresh = F.coalesce("_told", F.lit(0)).bitwiseAND(F.bitwise_not("seen"))
+        moved = state.drop("fresh").join(told, ["seed", "word", "node_id"], "left").withColumn("fresh", fresh)
+        state = cut(moved.select("seed", "word", "node_id", F.col("seen").bitwiseOR(F.col("fresh")).alias("seen"), "fresh", marked(dist, F.col("dists")).alias("dists")))
+        if state.filter("fresh <> 0").isEmpty():
+            return state.select("seed", "word", "node_id", "dists")
+
+
+def hop_distances(sub_edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(seed, anchor, node_id, dist)`` over undirected edges, all sources at once; nodes out of reach give no row."""
+    if "slot" not in sources.columns:
+        sources = sources.select("seed", "anchor").distinct().withColumn("slot", F.row_number().over(W.partitionBy("seed").orderBy("anchor")) - 1)
+    found = distance_table(sub_edges, sources).select("seed", "word", "node_id", F.posexplode("dists").alias("_b", "dist")).filter("dist IS NOT NULL")
+    found = found.withColumn("slot", F.col("word") * 32 + F.col("_b"))
+    return found.join(sources.select("seed", "anchor", "slot"), ["seed", "slot"]).select("seed", "anchor", "node_id", "dist")
 
 
 def position_encoding(nodes: DataFrame, sub_edges: DataFrame, k: int = ANCHORS, unreachable: str = "near") -> DataFrame:
@@ -92,22 +112,24 @@ def position_encoding(nodes: DataFrame, sub_edges: DataFrame, k: int = ANCHORS,
 
     Proximity is ``1 - distance / largest distance`` in the subgraph. An unreachable
     anchor counts as distance 0 (``near``) or as the number of nodes (``far``). If all
-    distances are 0 they are returned as they are.
+    distances are 0 they are returned as they are. ``k`` is 32 at most, one bit of the search each.
     """
+    if k > 32:
+        raise ValueError("at most 32 anchors")
     points = anchors(sub_edges, nodes, k)
-    dist = hop_distances(sub_edges, points)
-    slots = nodes.join(points, "seed").join(dist, ["seed", "anchor", "node_id"], "left")
+    found = distance_table(sub_edges, points).select("seed", "node_id", "dists")
+    sizes = points.groupBy("seed").agg(F.count("*").alias("_points"))
+    rows = nodes.join(sizes, "seed").join(found, ["seed", "node_id"], "left")
+    missing = F.lit(0)
     if unreachable == "far":
-        sizes = nodes.groupBy("seed").agg(F.count("*").cast("int").alias("_size"))
-        slots = slots.join(sizes, "seed").withColumn("dist", F.coalesce("dist", "_size"))
-    slots = slots.withColumn("dist", F.coalesce("dist", F.lit(0)))
-    wide = slots.groupBy("seed", "node_id").agg(*[
-        F.max(F.when(F.col("slot") == i, F.col("dist"))).alias(f"_d{i}") for i in range(k)
-    ])
-    top = slots.groupBy("seed").agg(F.max("dist").alias("_top"))
+        rows = rows.join(nodes.groupBy("seed").agg(F.count("*").cast("int").alias("_size")), "seed")
+        missing = F.col("_size")
     # A slot without an anchor is a column of zeros before scaling.
-    value = lambda i: F.coalesce(F.col(f"_d{i}"), F.lit(0)).cast("double")
-    return wide.join(top, "seed").select("seed", "node_id", *[
+    rows = rows.select("seed", "node_id", *[F.when(F.lit(i) < F.col("_points"), F.coalesce(F.get("dists", F.lit(i)), missing)).otherwise(0).alias(f"_d{i}") for i in range(k)])
+    rows = cut(rows)
+    top = rows.groupBy("seed").agg(F.max(F.greatest(*[F.col(f"_d{i}") for i in range(k)]) if k > 1 else F.col("_d0")).alias("_top"))
+    value = lambda i: F.col(f"_d{i}").cast("double")
+    return rows.join(top, "seed").select("seed", "node_id", *[
         F.when(F.col("_top") > 0, F.greatest(1.0 - value(i) / F.col("_top"), F.lit(0.0))).otherwise(value(i)).alias(f"pe_{i}")
         for i in range(k)
     ])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,9 @@ from ..functions import items as I
 from ..functions.hexnum import hex_to_text, long_to_hex
 from ..operators import blocks as B
 from ..operators import calltree, contracts, enrich, parse, tracecalc, transfers
+from ..session import cut, shared_dir
 from ..sinks import files
+from ..sinks.keyed_table import KeyedTable
 from ..sources import readers
 from . import views as V
 from .registry import query
@@ -583,27 +586,38 @@ def topic_records(spark, d):
 
 
 @query("route_by_type", views="blocks transactions", sql="""
-    SELECT 'block' AS type, count(*) AS n FROM blocks UNION ALL SELECT 'transaction', count(*) FROM transactions""")
+    SELECT 'block' AS type, 'block_' || hash AS item_id, CAST(gas_used AS VARCHAR) AS detail FROM blocks
+    UNION ALL SELECT 'transaction', 'transaction_' || hash, CAST(gas AS VARCHAR) FROM transactions""")
 def route_by_type(spark, d):
+    """Every item with its route, and a field of its payload to show that it went whole."""
     items = files.envelope(V.blocks(spark, d), "block").unionByName(
         files.envelope(V.transactions(spark, d).withColumn("block_timestamp", F.lit(0)), "transaction"))
     routed = files.route_by_type(items, ["block", "transaction"])
-    return reduce(DataFrame.unionByName, [df.groupBy("type").agg(F.count("*").alias("n")) for df in routed.values()])
+    fields = {"block": "$.gas_used", "transaction": "$.gas"}
+    return reduce(DataFrame.unionByName, [
+        df.select(F.lit(kind).alias("type"), "item_id", F.get_json_object("payload", fields[kind]).alias("detail")) for kind, df in routed.items()])
 
 
 @query("block_bundles", views="blocks transactions logs transfers traces", sql="""
-    SELECT b.number AS block_number, b.hash,
-           (SELECT count(*) FROM transactions t WHERE t.block_number = b.number) AS transactions,
-           (SELECT count(*) FROM logs t WHERE t.block_number = b.number) AS logs,
-           (SELECT count(*) FROM transfers t WHERE t.block_number = b.number) AS token_transfers,
-           (SELECT count(*) FROM traces t WHERE t.block_number = b.number) AS traces FROM blocks b""")
+    , tx AS (SELECT block_number, count(*) AS n, string_agg(hash, ',' ORDER BY hash) AS ids FROM transactions GROUP BY block_number),
+    lg AS (SELECT block_number, count(*) AS n, sum(log_index) AS s FROM logs GROUP BY block_number),
+    tf AS (SELECT block_number, count(*) AS n, sum(value) AS s FROM transfers GROUP BY block_number),
+    tr AS (SELECT block_number, count(*) AS n, sum(trace_index) AS s FROM traces GROUP BY block_number)
+    SELECT b.number AS block_number, b.hash, coalesce(tx.n, 0) AS transactions, coalesce(lg.n, 0) AS logs, coalesce(tf.n, 0) AS token_transfers, coalesce(tr.n, 0) AS traces,
+           coalesce(tx.ids, '') AS transaction_hashes, CAST(coalesce(lg.s, 0) AS BIGINT) AS log_indices, CAST(coalesce(tf.s, 0) AS BIGINT) AS transferred, CAST(coalesce(tr.s, 0) AS BIGINT) AS trace_indices
+    FROM blocks b LEFT JOIN tx ON tx.block_number = b.number LEFT JOIN lg ON lg.block_number = b.number
+    LEFT JOIN tf ON tf.block_number = b.number LEFT JOIN tr ON tr.block_number = b.number""")
 def block_bundles(spark, d):
-    raw = V.raw_receipts(spark, d)
+    """Bundles of every block: sizes of the arrays, and what their elements carry. Receipts are parsed once, for logs and transfers."""
+    logs = cut(parse.parse_logs(V.raw_receipts(spark, d)))
     bundles = files.block_bundles(V.blocks(spark, d), {
-        "transactions": V.transactions(spark, d), "logs": parse.parse_logs(raw), "token_transfers": _transfers(spark, d),
-        "traces": _traces(spark, d)})
-    return bundles.select("block_number", F.col("block.hash").alias("hash"),
-                          *[F.size(c).cast("bigint").alias(c) for c in files.CHILDREN])
+        "transactions": V.transactions(spark, d), "logs": logs, "token_transfers": transfers.extract_token_transfers(logs), "traces": _traces(spark, d)})
+    total = lambda array, field: F.aggregate(F.transform(array, lambda x: x[field].cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return bundles.select(
+        "block_number", F.col("block.hash").alias("hash"), *[F.size(c).cast("bigint").alias(c) for c in files.CHILDREN],
+        F.array_join(F.array_sort(F.transform("transactions", lambda x: x["hash"])), ",").alias("transaction_hashes"),
+        total("logs", "log_index").alias("log_indices"), total("token_transfers", "value").alias("transferred"),
+        total("traces", "trace_index").alias("trace_indices"))
 
 
 @query("upsert_latest", sql="""
@@ -613,6 +627,19 @@ def upsert_latest(spark, d):
     return files.latest_rows(rows.withColumn("_v", F.col("event_id")), ["user_id"], "_v").drop("_v")
 
 
+@query("upsert_table", sql="""
+    SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id""")
+def upsert_table(spark, d):
+    """The latest event of every user, merged in twelve batches with compaction on the way, two of them sent twice."""
+    rows = V.table(spark, d, "events").select("user_id", "event_type", "event_id")
+    table = KeyedTable(spark, f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}", ["user_id"], buckets=4, compact_every=5)
+    last = rows.agg(F.max("event_id")).first()[0]
+    for batch in [*range(12), 11, 3]:
+        part = rows.filter(F.floor(F.col("event_id") * 12 / F.lit(last + 1)) == batch)
+        table.upsert(files.latest_rows(part.withColumn("_v", F.col("event_id")), ["user_id"], "_v").drop("_v"), batch)
+    return table.read()
+
+
 @query("block_partitions", views="blocks", sql="""
     SELECT number, lpad(CAST(number // 1000 * 1000 AS VARCHAR), 8, '0') AS start_block,
            lpad(CAST(least(number // 1000 * 1000 + 999, (SELECT max(number) FROM blocks)) AS VARCHAR), 8, '0') AS end_block

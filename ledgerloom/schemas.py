@@ -36,12 +36,6 @@ RAW_TRACE = (
     "result:struct<gasUsed:string,output:string,address:string,code:string>,subtraces:bigint,"
     "traceAddress:array<int>,transactionHash:string,transactionPosition:bigint,type:string>"
 )
-RAW_GETH_LINE = "block_number bigint, transaction_traces array<string>"
-RAW_CALL_FRAME = (
-    "type string, `from` string, `to` string, value string, gas string, gasUsed string, "
-    "input string, output string, error string, calls array<string>"
-)
-
 # Clean entity tables.
 BLOCKS = (
     "number bigint, hash string, parent_hash string, nonce string, sha3_uncles string, "

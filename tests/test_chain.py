@@ -161,3 +161,22 @@ def test_periods_share_end_blocks(spark):
     df = spark.createDataFrame([(1917000,), (1800000,), (1,)], "number bigint")
     got = sorted(tuple(r) for r in blocks.assign_periods(df, "number").collect())
     assert got == [(1800000, "pre_dao"), (1917000, "dao_hack"), (1917000, "pre_dao")]
+
+
+def test_call_frames_of_any_depth_in_one_job(spark):
+    """A thousand frames under each other, beside lines that are none."""
+    import json
+
+    frame = {"type": "CALL", "from": "0xA", "to": "0xB", "value": "0x1", "gas": "0x5", "gasUsed": "0x1", "input": "0x", "output": "0x"}
+    deep = dict(frame)
+    for _ in range(1000):
+        deep = {**frame, "calls": [dict(frame), deep]}
+    lines = [json.dumps({"block_number": 7, "transaction_traces": [{"result": deep}, frame]}), "not json", None, "[]", json.dumps({"block_number": 8, "transaction_traces": None})]
+    raw = spark.createDataFrame([(line,) for line in lines], "body string")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    rows = calltree.flatten_call_frames(raw).orderBy("transaction_index", "trace_address").collect()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before <= 5
+    assert len(rows) == 2002
+    assert max(len(r.trace_address) for r in rows) == 1000
+    assert [r.trace_address for r in rows[:3]] == [[], [0], [1]]
+    assert [r.subtraces for r in rows[:3]] == [2, 0, 2] and rows[-1].transaction_index == 1

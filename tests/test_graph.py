@@ -208,3 +208,28 @@ def test_augmentations_keep_their_minimum(spark):
     cropped, _ = sampling.crop(nodes, e, ratio=0.5)
     assert cropped.count() in (3, 6)
     assert sampling.mask_features(nodes.withColumn("x", F.lit(1.0)), ["x"], rate=1.1).agg(F.sum("x")).first()[0] == 0.0
+
+
+def test_distances_from_many_sources_at_once(spark):
+    """Forty sources need two masks; distances equal a search from each."""
+    import random
+    from collections import deque
+
+    rng = random.Random(3)
+    edges = [(s, rng.randrange(60), rng.randrange(60)) for s in (1, 2) for _ in range(70)] + [(1, 100, 100)]
+    sources = [(s, a) for s in (1, 2) for a in rng.sample(range(60), 40)] + [(2, 999)]
+    want = set()
+    for seed, anchor in sources:
+        near = {anchor: 0}
+        queue = deque([anchor])
+        while queue:
+            x = queue.popleft()
+            for s, a, b in edges:
+                for p, q in ((a, b), (b, a)):
+                    if s == seed and p == x and q not in near:
+                        near[q] = near[x] + 1
+                        queue.append(q)
+        want |= {(seed, anchor, node, d) for node, d in near.items()}
+    sub = spark.createDataFrame(edges, "seed bigint, src bigint, dst bigint")
+    got = hops.hop_distances(sub, spark.createDataFrame(sources, "seed bigint, anchor bigint"))
+    assert {tuple(r) for r in got.collect()} == want

@@ -85,3 +85,30 @@ def test_boosted_trees_learn_a_rare_class(spark):
     model = tiers.train_boosted(rows, ["x"], rounds=3, depth=2)
     assert tiers.evaluate(tiers.score(model, rows, ["x"])).first().auc_roc == 1.0
     assert {r.label: round(r.weight, 4) for r in tiers.class_weights(rows).collect()} == {0: 0.5556, 1: 5.0}
+
+
+def test_percentiles_equal_the_aggregate(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([1.0, 1.0, rng.random() * 100, None])) for _ in range(3000)]
+    rows += [("one", 5.0), ("none", None), ("two", 1.0), ("two", 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
+    got = {r.g: tuple(r)[1:] for r in metrics.percentiles(df, "x", shares, ["g"]).collect()}
+    want = {r.g: tuple(r.p) for r in df.groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, shares.values()))).alias("p")).collect() if r.p}
+    assert set(got) == set(want) == {"a", "b", None, "one", "two"}
+    for g, values in got.items():
+        assert values == pytest.approx(want[g], abs=1e-9)
+    whole = metrics.percentiles(df, "x", shares).first()
+    assert tuple(whole) == pytest.approx(tuple(df.agg(F.percentile("x", F.array(*map(F.lit, shares.values())))).first()[0]), abs=1e-9)
+    assert metrics.latency_summary(df.withColumnRenamed("x", "latency_ms"), by=["g"]).count() == 6
+    assert metrics.latency_summary(df.withColumnRenamed("x", "latency_ms")).first().latency_p50 == pytest.approx(whole.p50)
+
+
+def test_ring_members_are_those_of_senders_that_score(spark):
+    edges = spark.createDataFrame([(0, 1, 2, 0), (1, 3, 1, 1), (2, 4, 3, 2), (3, 5, 4, 3), (4, 8, 9, 4)], "edge_id bigint, src bigint, dst bigint, t bigint")
+    scores = spark.createDataFrame([(1, 0.9), (3, 0.2), (8, 0.9), (2, 0.5)], "node_id bigint, score double")
+    got = sorted(tuple(r)[:2] for r in tiers.ring_members(edges, scores).collect())
+    # 4 reaches 1 by way of 3; 8 has too small a neighbourhood.
+    assert got == [(1, 1), (1, 3), (1, 4), (2, 1), (2, 2), (2, 3)]
