@@ -48,6 +48,7 @@ RANGE_BYTES = 16 << 20  # text whose signatures meet in one range
 BLOCK_SHINGLES = 300_000  # a block of a group holds about so many, and so many members
 BLOCK_MEMBERS = 1024
 CLASS_RATIO = 1.3
+SLICE = 1 << 20  # bytes of text hashed at once
 CROWD = 4096  # members in short lists from which they are merged as arrays
 RUN = 3  # shingles of a run
 PARTS_FROM = 0.9  # thresholds below sign by runs: parts would have so few members that many are empty, and empty ones agree in any two sets
@@ -57,7 +58,7 @@ _SALT = np.uint64(0xD6E8FEB86659FD93)
 def shingle_sets(column, size: int = SHINGLE):
     """``(row, sorted distinct hashes)`` of every text of a column."""
     data, bounds = text_bytes(column)
-    for first, end, part, inner in row_slices(data, bounds):
+    for first, end, part, inner in row_slices(data, bounds, SLICE):
         words = word_hashes(part, inner, lower=True)
         at, hashes = window_hashes(words, size)
         cuts = np.searchsorted(at, words.first)
@@ -336,12 +337,10 @@ class InvertedIndex:
 
 
 class Links:
-    """Links of a block as a forest, with the sizes of its trees."""
+    """Components of a block's links, with their sizes."""
 
     def __init__(self, keys: np.ndarray):
         self.keys, self.root, self.size = keys, list(range(len(keys))), [1] * len(keys)
-        self.a: list[int] = []
-        self.b: list[int] = []
 
     def find(self, x: int) -> int:
         root = self.root
@@ -356,11 +355,12 @@ class Links:
             p, q = (p, q) if self.size[p] >= self.size[q] else (q, p)
             self.root[q] = p
             self.size[p] += self.size[q]
-            self.a.append(self.keys[x])
-            self.b.append(self.keys[y])
 
     def table(self) -> pa.Table:
-        return pa.table({"a": pa.array(self.a, pa.int64()), "b": pa.array(self.b, pa.int64())})
+        """``(a, b)``: every member but the roots, and the root of its component."""
+        roots = np.array([self.find(i) for i in range(len(self.keys))], np.int64)
+        other = np.flatnonzero(roots != np.arange(len(roots)))
+        return pa.table({"a": pa.array(self.keys[other], pa.int64()), "b": pa.array(self.keys[roots[other]], pa.int64())})
 
 
 def _sets(table: pa.Table, size: int) -> tuple[pa.Table, list[np.ndarray]]:
@@ -415,15 +415,16 @@ def _links_to_open(size: int, num: int, den: int):
 
 def _between_blocks(members: DataFrame, found: DataFrame, texts: DataFrame, search, search_open) -> DataFrame:
     """Links between blocks of large groups, given those inside blocks."""
-    # Representatives find one another; as many blocks of them as they need.
-    inside = cut(_labels(members, found))
+    # Roots of the blocks' components find one another, in as many blocks of them as they need.
+    inside = members.join(found.select(F.col("a").alias("key"), F.col("b").alias("_l")), "key", "left").withColumn("label", F.coalesce("_l", "key")).drop("_l")
+    inside = cut(inside)
     speakers = inside.filter("key = label")
     room = speakers.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS)).cast("int").alias("_room"))
     met = speakers.join(room, "root").select("key", "root", F.col("root").alias("_g"), F.pmod(F.xxhash64("key"), F.col("_room")).cast("int").alias("_block"))
     links = cut(texts.join(met, "key").groupBy("_g", "_block").applyInArrow(search, "a long, b long"))
 
     # What is not in the largest component of its group is open and meets every block.
-    whole = cut(_labels(members, found.unionByName(links)))
+    whole = cut(inside.join(links.select(F.col("a").alias("label"), F.col("b").alias("_l")), "label", "left").withColumn("label", F.coalesce("_l", "label")).drop("_l"))
     counts = whole.groupBy("root", "label").agg(F.count("*").alias("_c"))
     largest = counts.groupBy("root").agg(F.max(F.struct("_c", "label")).alias("_top")).select(F.col("root").alias("_r"), F.col("_top.label").alias("_label"))
     open_sets = cut(whole.join(largest, F.col("root") == F.col("_r")).filter("label <> _label").select("key", "root", "n", "_blocks"))
@@ -437,13 +438,6 @@ def _between_blocks(members: DataFrame, found: DataFrame, texts: DataFrame, sear
     return links.unionByName(cut(placed.groupBy("_g", "_share", "_block").applyInArrow(search_open, "a long, b long")))
 
 
-def _labels(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of large groups with the smallest key of their component."""
-    mine = links.join(members.select(F.col("key").alias("a")), "a", "left_semi")
-    roots = components(mine).select(F.col("v").alias("key"), F.col("root").alias("_l"))
-    return members.join(roots, "key", "left").withColumn("label", F.coalesce("_l", "key")).drop("_l")
-
-
 def join(documents: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """``(doc_id, key, n_shingles, component_id, kept)``, one row per row of documents.
 
