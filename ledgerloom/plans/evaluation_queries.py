@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -415,12 +413,10 @@ def cascade(spark, d):
 
 @query("cross_period")
 def cross_period(spark, d):
-    """Every period but the last trains, the last one tests; then each of the others tests what the first taught."""
+    """Every period but the last trains, the last one tests."""
     rows = _training_rows(spark, d)
     periods = [r[0] for r in rows.select("period").distinct().orderBy("period").collect()]
-    columns = tiers.vector_columns(True)
-    runs = [(periods[:-1], periods[-1]), *[([periods[0]], p) for p in periods[1:]]]
-    return reduce(DataFrame.unionByName, [tiers.cross_period(rows, columns, train, test) for train, test in runs])
+    return tiers.cross_period(rows, tiers.vector_columns(True), periods[:-1], periods[-1])
 
 
 @query("repeat_runs")
