@@ -34,6 +34,7 @@ PER_CLASS, OTHERS = 1500, 3  # bounds of the sample: toxic texts, and ordinary o
 DISCOUNTS = (0.0, 1.0, 2.0, 3.0, 4.0)
 STEMS = (None, 5)  # bytes of a word that a model reads: whole words, and stems
 FIT_SLICE = 1 << 19  # bytes of the sample counted at a time, which bounds the driver's memory
+MERGE_ROWS = 400_000  # rows of slices that are put together at a time
 FOLDS, FOLD = 5, 0
 _START = np.uint64(0x5851F42D4C957F2D)
 
@@ -53,9 +54,22 @@ def _slices(texts: list[str]):
         yield part, inner
 
 
+def _distinct(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Columns of the first row of each key, sorted by key; the parts are emptied column by column."""
+    def column(i):
+        whole = np.concatenate([p[i] for p in parts])
+        for p in parts:
+            p[i] = None
+        return whole
+
+    key, once = np.unique(column(0), return_index=True)
+    return [key, *[column(i)[once] for i in range(1, 4)]]
+
+
 def _pairs(texts: list[str], stem: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs of some texts, the number of different words before each, its last and its first word."""
-    parts = []
+    parts: list[list[np.ndarray]] = []
+    rows = 0
     for data, bounds in _slices(texts):
         words = word_hashes(data, bounds, ALNUM, True, stem)
         before, both = _bigrams(words)
@@ -64,22 +78,17 @@ def _pairs(texts: list[str], stem: int | None) -> tuple[np.ndarray, np.ndarray,
             older[1:] = before[:-1]
             starts = words.first[:-1]
             older[starts[starts < len(before)]] = _START
-        key, at = np.unique(mix64(older * np.uint64(5) + both), return_index=True)
-        parts.append([key, both[at], words.hashes[at], before[at]])
+        parts.append(_distinct([[mix64(older * np.uint64(5) + both), both, words.hashes, before]]))
+        rows += len(parts[-1][0])
+        if rows > MERGE_ROWS:
+            # Expressions repeat: what is kept grows with the distinct ones.
+            parts = [_distinct(parts)]
+            rows = 0
     if not parts:
         return tuple(np.zeros(0, np.uint64) for _ in range(4))
-
-    def column(i):
-        # The slices' part of a column goes as soon as it is put together.
-        whole = np.concatenate([p[i] for p in parts])
-        for p in parts:
-            p[i] = None
-        return whole
-
-    once = np.unique(column(0), return_index=True)[1]
-    pairs, at, count = np.unique(column(1)[once], return_index=True, return_counts=True)
-    once = once[at]
-    return pairs, count, column(2)[once], column(3)[once]
+    _, both, last, first = _distinct(parts)
+    pairs, at, count = np.unique(both, return_index=True, return_counts=True)
+    return pairs, count, last[at], first[at]
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
