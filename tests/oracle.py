@@ -49,7 +49,8 @@ def compare(df, con, sql: str) -> str | None:
         return f"types {wrong}"
     a, b = _rows(got, names), _rows(want, names)
     if a != b:
-        extra = [r for r in a if r not in set(b)][:2]
-        missing = [r for r in b if r not in set(a)][:2]
+        have, wanted = set(a), set(b)
+        extra = [r for r in a if r not in wanted][:2]
+        missing = [r for r in b if r not in have][:2]
         return f"rows {len(a)} vs {len(b)} {names}; only spark {extra}; only sql {missing}"
     return None if a else "EMPTY"
