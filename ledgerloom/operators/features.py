@@ -57,7 +57,7 @@ def address_features(edges: DataFrame, with_rank: bool = True) -> DataFrame:
     """Degrees, sums, means, counterparties, gap statistics, span and rank per node.
 
     On the simple graph a node's degree equals its distinct counterparties. PageRank
-    is 0 without ``with_rank``.
+    is 0 without ``with_rank``; with it ``pagerank_converged`` says whether the rounds sufficed.
     """
     simple = simple_graph(edges)
     sides = both_ends(simple, "t", "value")
@@ -79,6 +79,6 @@ def address_features(edges: DataFrame, with_rank: bool = True) -> DataFrame:
     })
     ranks = None
     if with_rank:
-        ranks = pagerank(edges).select(F.col("node_id").alias("node"), "pagerank")
+        ranks = pagerank(edges).select(F.col("node_id").alias("node"), "pagerank", F.col("converged").alias("pagerank_converged"))
     result = result.join(ranks, "node", "left") if ranks is not None else result.withColumn("pagerank", F.lit(0.0))
     return result.withColumn("pagerank", F.coalesce("pagerank", F.lit(0.0))).withColumnRenamed("node", "node_id")

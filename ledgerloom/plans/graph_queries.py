@@ -510,9 +510,9 @@ def k_hop_nodes(spark, d):
 
 
 @query("limited_subgraphs", views="hood", sql="""
-    SELECT seed, node_id FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY node_id) AS rn FROM hood) WHERE rn <= 4""")
+    SELECT seed, node_id FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY node_id) AS rn FROM hood) WHERE rn <= 300""")
 def limited_subgraphs(spark, d):
-    return hops.limit_nodes(hops.k_hop_nodes(V.circles(spark, d), _seeds(spark, d)), 4)
+    return hops.limit_nodes(hops.k_hop_nodes(V.circles(spark, d), _seeds(spark, d)), 300)
 
 
 @query("subgraph_edges", views="sub_edges", sql="SELECT seed, edge_id, src, dst FROM sub_edges")

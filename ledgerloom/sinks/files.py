@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -128,7 +129,26 @@ def multi_sink(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame,
 
 
 def console_sink(batch: DataFrame, batch_id: int) -> None:
-    batch.select(F.to_json(F.struct("*"))).show(truncate=False)
+    """Every row as one line of JSON. Rows come to the driver a partition at a time."""
+    for row in batch.select(F.to_json(F.struct("*"))).toLocalIterator():
+        print(row[0])
+
+
+def memory_sink(name: str) -> Callable[[DataFrame, int], None]:
+    """Items by type in session tables ``<name>_<type>``, kept on the executors and spilled to their disks.
+
+    A batch that comes again replaces itself. For looking at results, as in tests; not a store.
+    """
+    batches: dict[str, dict[int, DataFrame]] = {}
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        for (kind,) in kept.select("type").distinct().collect():
+            mine = batches.setdefault(kind, {})
+            mine[batch_id] = kept.filter(F.col("type").eqNullSafe(F.lit(kind)))
+            reduce(DataFrame.unionByName, mine.values()).createOrReplaceTempView(f"{name}_{kind}")
+
+    return write
 
 
 CHILDREN = ["transactions", "logs", "token_transfers", "traces"]

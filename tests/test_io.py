@@ -131,3 +131,17 @@ def test_keyed_table_without_batches(spark, tmp_path):
         table.read()
     table.upsert(spark.createDataFrame([], "k bigint, v string"), 0)
     assert table.read().count() == 0 and table.read().columns == ["k", "v"]
+
+
+def test_sinks_of_a_batch(spark, capsys):
+    """Several sinks share one batch; the console prints all rows; tables in memory hold items by type."""
+    items = spark.range(55).selectExpr("IF(id % 2 = 0, 'block', 'log') AS type", "concat('i', id) AS item_id")
+    seen = []
+    sink = files.multi_sink(files.console_sink, files.memory_sink("kept"), lambda df, n: seen.append((n, df.count())))
+    sink(items, 0)
+    sink(items.limit(5), 1)
+    sink(items.limit(5), 1)
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert len(lines) == 65 and {x["item_id"] for x in lines} == {f"i{n}" for n in range(55)}
+    assert seen == [(0, 55), (1, 5), (1, 5)]
+    assert spark.table("kept_block").count() + spark.table("kept_log").count() == 60
