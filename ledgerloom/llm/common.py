@@ -50,7 +50,7 @@ def cut(df: DataFrame) -> DataFrame:
 def _powers(base: np.uint64, n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006 - kept between calls on purpose
     have = cache.get(int(base))
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES)
+        size = max(n, min(SLICE_BYTES, 1 << max(20, (n - 1).bit_length())))
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
