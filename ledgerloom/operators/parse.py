@@ -14,10 +14,16 @@ def _fields(source: str, names: dict[str, str], how=lambda c: c) -> list[Column]
     return [how(F.col(f"{source}.{raw}")).alias(clean) for raw, clean in names.items()]
 
 
-def _block(raw: DataFrame, body: str) -> DataFrame:
+def open_blocks(raw: DataFrame, body: str = "body") -> DataFrame:
+    """Block responses as one struct ``b``; what is made of it twice is read once."""
     return raw.select(F.from_json(body, S.RAW_BLOCK).alias("b"))
 
 
+def open_receipts(raw: DataFrame, body: str = "body") -> DataFrame:
+    """Receipt responses as one struct ``r``."""
+    return raw.select(F.from_json(body, S.RAW_RECEIPT).alias("r"))
+
+
 def parse_withdrawals(col: Column) -> Column:
     return F.transform(
         col,
@@ -32,8 +38,12 @@ def parse_withdrawals(col: Column) -> Column:
 
 def parse_blocks(raw: DataFrame, body: str = "body") -> DataFrame:
     """One row per block. ``transaction_count`` includes entries that are bare hashes."""
+    return blocks_of(open_blocks(raw, body))
+
+
+def blocks_of(opened: DataFrame) -> DataFrame:
     b = "b"
-    return _block(raw, body).select(
+    return opened.select(
         hex_to_long(F.col("b.number")).alias("number"),
         *_fields(b, {
             "hash": "hash", "parentHash": "parent_hash", "nonce": "nonce",
@@ -56,7 +66,11 @@ def parse_blocks(raw: DataFrame, body: str = "body") -> DataFrame:
 
 def parse_transactions(raw: DataFrame, body: str = "body") -> DataFrame:
     """One row per full transaction object; bare hashes are skipped."""
-    entries = _block(raw, body).select(
+    return transactions_of(open_blocks(raw, body))
+
+
+def transactions_of(opened: DataFrame) -> DataFrame:
+    entries = opened.select(
         hex_to_long(F.col("b.timestamp")).alias("block_timestamp"),
         F.explode("b.transactions").alias("entry"),
     )
@@ -82,8 +96,11 @@ def parse_transactions(raw: DataFrame, body: str = "body") -> DataFrame:
 
 
 def parse_receipts(raw: DataFrame, body: str = "body") -> DataFrame:
-    r = raw.select(F.from_json(body, S.RAW_RECEIPT).alias("r"))
-    return r.select(
+    return receipts_of(open_receipts(raw, body))
+
+
+def receipts_of(opened: DataFrame) -> DataFrame:
+    return opened.select(
         F.col("r.transactionHash").alias("transaction_hash"),
         hex_to_long(F.col("r.transactionIndex")).alias("transaction_index"),
         F.col("r.blockHash").alias("block_hash"),
@@ -104,7 +121,11 @@ def parse_receipts(raw: DataFrame, body: str = "body") -> DataFrame:
 
 def parse_logs(raw: DataFrame, body: str = "body") -> DataFrame:
     """Logs of raw receipts; the emitting address keeps its letter case."""
-    entries = raw.select(F.explode(F.from_json(body, S.RAW_RECEIPT)["logs"]).alias("g"))
+    return logs_of(open_receipts(raw, body))
+
+
+def logs_of(opened: DataFrame) -> DataFrame:
+    entries = opened.select(F.explode("r.logs").alias("g"))
     return entries.select(
         hex_to_long(F.col("g.logIndex")).alias("log_index"),
         F.col("g.transactionHash").alias("transaction_hash"),

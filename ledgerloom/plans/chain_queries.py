@@ -656,12 +656,13 @@ def date_partition(spark, d):
     return files.date_partition(V.blocks(spark, d), "timestamp").select("number", F.col("date").cast("string").alias("date"))
 
 
-@query("export_all", views="blocks lines logs transfers", sql=f"""
-    SELECT 'blocks' AS entity, count(*) AS n FROM blocks UNION ALL SELECT 'transactions', count(*) FROM lines
-    UNION ALL SELECT 'receipts', count(*) FROM lines UNION ALL SELECT 'logs', count(*) FROM logs
-    UNION ALL SELECT 'token_transfers', count(*) FROM transfers
-    UNION ALL SELECT 'contracts', count(DISTINCT l.part) FROM lines l JOIN part p ON p.p_partkey = l.part WHERE l.flag = 'A'
-    UNION ALL SELECT 'tokens', count(DISTINCT token_address) FROM transfers""")
+@query("export_all", views="blocks transactions lines logs transfers traces", sql=f"""
+    SELECT 'blocks' AS entity, hash AS id FROM blocks UNION ALL SELECT 'transactions', hash FROM transactions
+    UNION ALL SELECT 'receipts', hash FROM transactions UNION ALL SELECT 'logs', transaction_hash || '_' || log_index FROM logs
+    UNION ALL SELECT 'token_transfers', transaction_hash || '_' || log_index FROM transfers
+    UNION ALL SELECT DISTINCT 'contracts', {addr('l.part + 2000000')} FROM lines l JOIN part p ON p.p_partkey = l.part WHERE l.flag = 'A'
+    UNION ALL SELECT DISTINCT 'tokens', token_address FROM transfers
+    UNION ALL SELECT 'traces', trace_id FROM traces""")
 def export_all(spark, d):
     from ..sinks.export_all import export_all as run
 
@@ -670,9 +671,11 @@ def export_all(spark, d):
     answers = V.table(spark, d, "supplier").select(
         V.address(F.col("s_suppkey") + 1000000).alias("address"), F.lit("decimals()").alias("call"),
         V.word(F.lit(18)).alias("result"))
-    tables = run(V.raw_blocks(spark, d), V.raw_receipts(spark, d), code, answers)
+    tables = run(V.raw_blocks(spark, d), V.raw_receipts(spark, d), code, answers, V.raw_traces(spark, d))
+    ids = {"blocks": "hash", "transactions": "hash", "receipts": "transaction_hash", "contracts": "address", "tokens": "address", "traces": "trace_id"}
+    position = F.concat_ws("_", "transaction_hash", F.col("log_index").cast("string"))
     return reduce(DataFrame.unionByName, [
-        df.agg(F.count("*").alias("n")).select(F.lit(name).alias("entity"), "n") for name, df in tables.items()])
+        df.select(F.lit(name).alias("entity"), (F.col(ids[name]) if name in ids else position).alias("id")) for name, df in tables.items()])
 
 
 # ---------------------------------------------------------------- marketplace

@@ -145,3 +145,21 @@ def test_sinks_of_a_batch(spark, capsys):
     assert len(lines) == 65 and {x["item_id"] for x in lines} == {f"i{n}" for n in range(55)}
     assert seen == [(0, 55), (1, 5), (1, 5)]
     assert spark.table("kept_block").count() + spark.table("kept_log").count() == 60
+
+
+def test_whole_export_with_special_traces(spark):
+    from ledgerloom.operators import calltree
+    from ledgerloom.sinks.export_all import export_all
+
+    block = {"number": "0x0", "hash": "0xb", "timestamp": "0x1", "transactions": [{"hash": "0xt", "blockNumber": "0x0", "from": "0xA", "to": "0xB", "value": "0x1"}]}
+    receipt = {"transactionHash": "0xt", "blockNumber": "0x0", "status": "0x1", "logs": []}
+    trace = {"action": {"callType": "call", "from": "0xA", "to": "0xB", "value": "0x1", "gas": "0x1", "input": "0x"}, "blockNumber": 0, "result": {"gasUsed": "0x0", "output": "0x"},
+             "subtraces": 0, "traceAddress": [], "transactionHash": "0xt", "transactionPosition": 0, "type": "call"}
+    raw = lambda *rows: spark.createDataFrame([(json.dumps(r),) for r in rows], "body string")
+    nothing = lambda schema: spark.createDataFrame([], schema)
+    first = calltree.special_traces(spark.createDataFrame([(i, f"0x{i}", 5) for i in range(3)], "position bigint, address string, value bigint"), "genesis")
+    tables = export_all(raw(block), raw(receipt), nothing("address string, bytecode string"), nothing("address string, call string, result string"),
+                        raw([trace]), [first])
+    got = sorted((r.trace_index, r.trace_type, r.trace_id, r.status) for r in tables["traces"].collect())
+    assert got == [(i, "genesis", f"genesis_0_{i}", 1) for i in range(3)] + [(3, "call", "call_0xt_", 1)]
+    assert tables["receipts"].count() == 1 and tables["logs"].count() == 0
